@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import BROADCAST_KEYS, bounded_broadcast, cut, key, scratch_path
+from lakeloom.llm.common import bounded_broadcast, cut, key, scratch_path
 
 SALT_ROWS = 1000
 _SPACES = " \t\n\x0b\x0c\r"
@@ -26,6 +26,8 @@ _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # without it each of many small stores sets megabytes of disk aside
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -116,6 +118,3 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = found.filter("kept").select(key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     own = Window.partitionBy("__id", "__sha").orderBy(F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).desc())
     return marked.join(stay, ["__id", "__sha"], "left_semi").withColumn("__nth", F.row_number().over(own)).filter("__nth = 1").select(*docs.columns)
-
-
-__all__ = ["BROADCAST_KEYS", "drop_copies", "exact_groups"]
