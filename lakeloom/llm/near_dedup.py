@@ -4,9 +4,10 @@ Of every document the occurrence-labelled word runs are hashed under ``SKETCHES`
 with least hashes, kept in text order, so documents agree in it only if they share these runs in the same order.
 
 Copies (same words) are first collapsed to one node. Nodes that agree in a sketch are candidates. In groups of up to
-``SMALL`` nodes all pairs are taken. Larger groups are split by a second sketch (each sketch with the ``NEXT`` after it); what
-is still larger is compared with its most central member, and the members that fail are compared among themselves again in
-the same way, until none is left. So work grows with the rows of the groups and not with the square of their sizes.
+``SMALL`` nodes all pairs are taken. In larger groups each member is compared with the most central one. Members that link
+with none of their groups' central ones are split by a second sketch (each sketch with the ``NEXT`` after it) and taken in the
+same way, all pairs or with a central member, again and again until no large group is left. So work grows with the rows of
+the groups and not with the square of their sizes.
 
 A candidate pair is a link if the aligned runs in common make up ``SIMILARITY`` of all runs of both. The runs of a document
 are distinct once labelled, so the alignment is the longest increasing chain of matched places, within the band that a
@@ -135,6 +136,14 @@ def _grouped(rows: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     return sized.filter(F.col("size") <= SMALL), sized.filter(F.col("size") > SMALL)
 
 
+def _to_hubs(rows: DataFrame, on: list[str], least: float) -> DataFrame:
+    """(u, v): of each group its most central member (whose groups have most members, then the least node) with the others."""
+    central = rows.groupBy("node").agg(F.sum("size").alias("c"))
+    hubs = rows.join(central, "node").groupBy(*on).agg(F.max(F.struct("c", "node", "n")).alias("h")).select(*on, F.col("h.node").alias("hub"), F.col("h.n").alias("nh"))
+    asked = rows.join(hubs, on).filter(F.col("node") != F.col("hub")).filter(F.least("n", "nh") >= least * F.greatest("n", "nh"))
+    return asked.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): of every node with a link the least node of its component. ``edges``: u, v. Alternates the large-star
     and small-star steps, each cut by a table in the shared folder, until nothing changes."""
@@ -168,11 +177,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keyed = nodes.select("node", "n", "sketch", F.posexplode("sketch").alias("i", "a"))
     small, large = _grouped(keyed, ["i", "a"])
-    pairs = _pairs_within(small, ["i", "a"], least)
-    deeper = cut(large.select("node", "n", F.explode(F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda j: F.xxhash64("i", "a", j, F.element_at("sketch", ((F.col("i") + j) % SKETCHES + 1).cast("int"))))).alias("g")).distinct(), "groups")
-    small, large = _grouped(deeper, ["g"])
-    pairs = cut(pairs.unionByName(_pairs_within(small, ["g"], least)).distinct(), "pairs")
-    large = cut(large.select("g", "node", "n"), "large")
+    pairs = cut(_pairs_within(small, ["i", "a"], least), "pairs")
+    large = cut(large.select("i", "a", "size", "node", "n", "sketch"), "large")
 
     # the word runs of the nodes that have candidates
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(large.select("node")).distinct()
@@ -180,18 +186,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = cut(texts.join(bounded_broadcast(ids), key(texts["doc_id"]) == ids["k"], "left_semi").select("text").mapInArrow(_with_runs, "node binary, runs binary").filter("node is not null").groupBy("node").agg(F.first("runs").alias("runs")), "runs")
 
     links = cut(_links(pairs, runs, least).filter("sim > 0"), "links")
-    while large.take(1):
-        # the most central member: the one in most large groups, then the least
-        central = large.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
-        hubs = large.join(central, "node").groupBy("g").agg(F.max(F.struct("c", "node")).alias("h")).select("g", F.col("h.node").alias("hub"))
-        tried = cut(large.join(hubs, "g").filter("node <> hub"), "tried")
-        asked = tried.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
-        found = cut(_links(asked, runs, least).filter("sim > 0"), "found")
+    if large.take(1):
+        found = cut(_links(_to_hubs(large, ["i", "a"], least), runs, least).filter("sim > 0"), "found")
         links = links.unionByName(found)
-        failed = tried.select("g", "node", "n", F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).join(found.select("u", "v"), ["u", "v"], "left_anti").select("g", "node", "n")
-        small, large = _grouped(failed, ["g"])
-        small, large = cut(small.select("g", "node", "n"), "small"), cut(large.select("g", "node", "n"), "large")
-        links = cut(links.unionByName(_links(_pairs_within(small, ["g"], least), runs, least).filter("sim > 0")).distinct(), "links")
+        settled = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        left = large.join(settled, "node", "left_anti")
+        second = F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda j: F.xxhash64("i", "a", j, F.element_at("sketch", ((F.col("i") + j) % SKETCHES + 1).cast("int"))))
+        deeper = left.select("node", "n", F.explode(second).alias("g"))
+        while True:
+            small, large = _grouped(cut(deeper, "groups"), ["g"])
+            small, large = cut(small.select("g", "node", "n"), "small"), cut(large.select("g", "size", "node", "n"), "large")
+            found = cut(_links(_pairs_within(small, ["g"], least).unionByName(_to_hubs(large, ["g"], least)).distinct(), runs, least).filter("sim > 0"), "found")
+            links = links.unionByName(found)
+            if not large.take(1):
+                break
+            settled = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            hubs = large.groupBy("g").agg(F.min("node").alias("node"))  # each round a group gets smaller, hub or no hub
+            deeper = large.join(settled, "node", "left_anti").join(hubs, ["g", "node"], "left_anti").select("node", "n", "g")
+        links = cut(links.distinct(), "links")
 
     roots = components(links)
     degree = links.select("u", "v").distinct().select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
