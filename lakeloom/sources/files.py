@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FILE = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+
+def _file() -> F.Column:
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
 def _require(spark: SparkSession, glob: str) -> None:
@@ -22,7 +24,7 @@ def _require(spark: SparkSession, glob: str) -> None:
 
 def read_csv(spark: SparkSession, glob: str) -> DataFrame:
     """Every file's rows by its own header. Quoted fields are parsed per line; a line is a record."""
-    lines = spark.read.text(glob).select(_FILE.alias("source_file"), F.col("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(glob).select(_file().alias("source_file"), F.col("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     # a file's first line is its header: small, one a file
     header = lines.groupBy("source_file").agg(F.min_by("value", F.struct("block", "at")).alias("header"), F.min(F.struct("block", "at")).alias("first"))
     body = lines.join(header, "source_file").filter(F.struct("block", "at") > F.col("first")).filter(F.length(F.trim("value")) > 0)
@@ -34,7 +36,7 @@ def read_csv(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_json_array(spark: SparkSession, glob: str) -> DataFrame:
     """Rows of JSON documents that are arrays of objects; another document is an error that names the file."""
-    docs = spark.read.text(glob, wholetext=True).select(_FILE.alias("source_file"), "value")
+    docs = spark.read.text(glob, wholetext=True).select(_file().alias("source_file"), "value")
     rows = F.from_json("value", "array<map<string,string>>")
     checked = F.when(F.ltrim("value").startswith("[") & rows.isNotNull(), rows).otherwise(F.raise_error(F.concat(F.lit("not a JSON array: "), "source_file")).cast("array<map<string,string>>"))
     return docs.select("source_file", F.posexplode(checked).alias("p", "payload")).select("source_file", F.struct(F.lit(0).cast("long").alias("block"), F.col("p").cast("long").alias("at")).alias("place"), "payload")
@@ -42,7 +44,7 @@ def read_json_array(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, glob: str) -> DataFrame:
     """Rows of JSON lines; blank lines are skipped, nested objects stay JSON text."""
-    lines = spark.read.text(glob).select(_FILE.alias("source_file"), "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"))
+    lines = spark.read.text(glob).select(_file().alias("source_file"), "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"))
     return lines.filter(F.length(F.trim("value")) > 0).select("source_file", "place", F.from_json("value", "map<string,string>").alias("payload"))
 
 
