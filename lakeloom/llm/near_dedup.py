@@ -6,7 +6,8 @@ with least hashes, kept in text order, so documents agree in it only if they sha
 Copies (same words) are first collapsed to one node. Nodes that agree in a sketch are candidates. In groups of up to
 ``SMALL`` nodes all pairs are taken. In larger groups each member is compared with the most central one. Members that link
 with none of their groups' central ones are split by a second sketch (each sketch with the ``NEXT`` after it) and taken in the
-same way, all pairs or with a central member, again and again until no large group is left. So work grows with the rows of
+same way, all pairs or with their least member; what is left of large groups is split by two further sketches (each among the ``DEEPER``
+after the last), again and again until no large group is left. So work grows with the rows of
 the groups and not with the square of their sizes.
 
 A candidate pair is a link if the aligned runs in common make up ``SIMILARITY`` of all runs of both. The runs of a document
@@ -33,7 +34,7 @@ from lakeloom.llm.tokens import labelled, mix, shingles, words
 
 RUN, SIMILARITY = 5, 0.8
 SKETCHES, ROWS = 16, 3
-SMALL, NEXT = 32, 5
+SMALL, NEXT, DEEPER = 32, 5, 2
 _SEEDS = [np.uint64(int.from_bytes(hashlib.blake2b(b"order-minhash %d" % i, digest_size=8).digest(), "little")) for i in range(SKETCHES)]
 _TOP = np.uint64(2**64 - 1)
 
@@ -144,6 +145,13 @@ def _to_hubs(rows: DataFrame, on: list[str], least: float) -> DataFrame:
     return asked.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
+def _split(rows: DataFrame, following: int) -> DataFrame:
+    """(g, i, node, n, sketch): each group split by each of the ``following`` sketches after its last, i."""
+    after = F.transform(F.sequence(F.lit(1), F.lit(following)), lambda j: ((F.col("i") + j) % SKETCHES).cast("int"))
+    each = rows.select("g", "node", "n", "sketch", F.explode(after).alias("i"))
+    return each.withColumn("g", F.xxhash64("g", "i", F.element_at("sketch", F.col("i") + 1)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): of every node with a link the least node of its component. ``edges``: u, v. Alternates the large-star
     and small-star steps, each cut by a table in the shared folder, until nothing changes."""
@@ -191,18 +199,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = links.unionByName(found)
         settled = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         left = large.join(settled, "node", "left_anti")
-        second = F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda j: F.xxhash64("i", "a", j, F.element_at("sketch", ((F.col("i") + j) % SKETCHES + 1).cast("int"))))
-        deeper = left.select("node", "n", F.explode(second).alias("g"))
+        deeper = _split(left.withColumn("g", F.xxhash64("i", "a")), NEXT)
         while True:
-            small, large = _grouped(cut(deeper, "groups"), ["g"])
-            small, large = cut(small.select("g", "node", "n"), "small"), cut(large.select("g", "size", "node", "n"), "large")
-            found = cut(_links(_pairs_within(small, ["g"], least).unionByName(_to_hubs(large, ["g"], least)).distinct(), runs, least).filter("sim > 0"), "found")
+            groups = cut(deeper, "groups")
+            small, large = _grouped(groups, ["g"])
+            large = cut(large, "large")
+            # the least member is compared with the others, so a group gets smaller each round in any case
+            hubs = large.groupBy("g").agg(F.min("node").alias("hub"))
+            rest = large.join(hubs, "g").filter("node <> hub")
+            asked = _pairs_within(small, ["g"], least).unionByName(rest.select(F.col("hub").alias("u"), F.col("node").alias("v"))).distinct()
+            found = cut(_links(asked, runs, least).filter("sim > 0"), "found")
             links = links.unionByName(found)
             if not large.take(1):
                 break
             settled = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-            hubs = large.groupBy("g").agg(F.min("node").alias("node"))  # each round a group gets smaller, hub or no hub
-            deeper = large.join(settled, "node", "left_anti").join(hubs, ["g", "node"], "left_anti").select("node", "n", "g")
+            deeper = _split(_split(rest.join(settled, "node", "left_anti").drop("size", "hub"), DEEPER), DEEPER)
         links = cut(links.distinct(), "links")
 
     roots = components(links)
