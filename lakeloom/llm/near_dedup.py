@@ -4,11 +4,12 @@ Of every document the occurrence-labelled word runs are hashed under ``SKETCHES`
 with least hashes, kept in text order, so documents agree in it only if they share these runs in the same order.
 
 Copies (same words) are first collapsed to one node. Nodes that agree in a sketch are candidates. In groups of up to
-``SMALL`` nodes all pairs are taken. In larger groups each member is compared with the most central one. Members that link
-with none of their groups' central ones are split by a second sketch (each sketch with the ``NEXT`` after it) and taken in the
-same way, all pairs or with their least member; what is left of large groups is split by two further sketches (each among the ``DEEPER``
-after the last), again and again until no large group is left. So work grows with the rows of
-the groups and not with the square of their sizes.
+``SMALL`` nodes all pairs are taken. In larger groups each member's distance (1 - similarity) from the most central one is
+measured. Distances obey the triangle inequality, so members whose distances from the central one differ by more than a link
+allows can't link. Members far from it (more than two links) are split by a second sketch (each sketch with the ``NEXT``
+after it) and taken in the same way; what is left of large groups is split by two further sketches (each among the ``DEEPER``
+after the last), again and again until no large group is left. Last, of the members near a central one all pairs are compared
+that the inequality allows and that the links so far leave in different classes: no link between classes is lost to a group's size.
 
 A candidate pair is a link if the aligned runs in common make up ``SIMILARITY`` of all runs of both. The runs of a document
 are distinct once labelled, so the alignment is the longest increasing chain of matched places, within the band that a
@@ -110,11 +111,25 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return common / (n + m - common) if common >= need else 0.0
 
 
+def _flat(col: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of all rows of ``col`` one after another, and where each row's begin and end."""
+    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    return np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32), (ends - ends[0]) // 4
+
+
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        u, v, ru, rv = (batch.column(i) for i in range(4))
-        sims = [aligned(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), least) for x, y in zip(ru, rv, strict=True)]
-        yield pa.RecordBatch.from_arrays([u, v, pa.array(sims, pa.float64())], names=["u", "v", "sim"])
+    for batch in (part for whole in batches for part in by_bytes(by_bytes([whole], "runs_u"), "runs_v")):
+        (a, at_a), (b, at_b) = _flat(batch.column(2)), _flat(batch.column(3))
+        n, m = np.diff(at_a), np.diff(at_b)
+        pair = np.arange(len(n), dtype=np.uint64) << np.uint64(32)
+        # runs in common, whatever their places, are no fewer than those aligned: most pairs that are no link end here
+        both = np.concatenate([np.repeat(pair, n) | a, np.repeat(pair, m) | b])
+        both.sort()
+        common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(n))
+        sims = np.zeros(len(n))
+        for k in np.flatnonzero(common >= least * (n + m) / (1 + least) - 1e-9).tolist():
+            sims[k] = aligned(a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]], least)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["u", "v", "sim"])
 
 
 def _links(pairs: DataFrame, runs: DataFrame, least: float) -> DataFrame:
@@ -137,12 +152,28 @@ def _grouped(rows: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     return sized.filter(F.col("size") <= SMALL), sized.filter(F.col("size") > SMALL)
 
 
-def _to_hubs(rows: DataFrame, on: list[str], least: float) -> DataFrame:
-    """(u, v): of each group its most central member (whose groups have most members, then the least node) with the others."""
+def _measured(rows: DataFrame, runs: DataFrame, least: float) -> DataFrame:
+    """``rows`` of groups g with ``d``: the distance from the group's most central member (whose groups have most members, then
+    the greatest node), null where it is over three times that of a link."""
+    floor = max(0.0, 1 - 3 * (1 - least))
     central = rows.groupBy("node").agg(F.sum("size").alias("c"))
-    hubs = rows.join(central, "node").groupBy(*on).agg(F.max(F.struct("c", "node", "n")).alias("h")).select(*on, F.col("h.node").alias("hub"), F.col("h.n").alias("nh"))
-    asked = rows.join(hubs, on).filter(F.col("node") != F.col("hub")).filter(F.least("n", "nh") >= least * F.greatest("n", "nh"))
-    return asked.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+    hubs = rows.join(central, "node").groupBy("g").agg(F.max(F.struct("c", "node", "n")).alias("h")).select("g", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"))
+    both = cut(rows.join(hubs, "g").withColumn("u", F.least("node", "hub")).withColumn("v", F.greatest("node", "hub")), "hubs")
+    sims = _links(both.filter("u <> v").filter(F.least("n", "nh") >= floor * F.greatest("n", "nh")).select("u", "v").distinct(), runs, floor).filter("sim > 0")
+    d = F.when(F.col("u") == F.col("v"), F.lit(0.0)).otherwise(1 - F.col("sim"))
+    return cut(both.join(sims, ["u", "v"], "left").withColumn("d", d).select("g", "i", "node", "n", "sketch", "u", "v", "d"), "measured")
+
+
+def _between_classes(places: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """(u, v): the pairs of a group, one of them near its central member, that ``links`` leave in different classes and whose
+    distances from the central member (``places``: g, node, d) allow a link."""
+    far = 1 - least + 1e-6
+    placed = places.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("g")
+    placed = cut(placed.join(mixed, "g", "left_semi"), "placed")
+    x, y = (placed.select("g", F.col("node").alias(k), F.col("d").alias(f"d{k}"), F.col("root").alias(f"r{k}")) for k in "xy")
+    pairs = x.filter(F.col("dx") <= 2 * far).join(y, "g").filter("rx <> ry").filter(F.abs(F.col("dx") - F.col("dy")) <= far)
+    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
 def _split(rows: DataFrame, following: int) -> DataFrame:
@@ -193,27 +224,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = cut(nodes.join(wanted, "node", "left_semi").select(key(F.col("rep")).alias("k")).distinct(), "ids")
     runs = cut(texts.join(bounded_broadcast(ids), key(texts["doc_id"]) == ids["k"], "left_semi").select("text").mapInArrow(_with_runs, "node binary, runs binary").filter("node is not null").groupBy("node").agg(F.first("runs").alias("runs")), "runs")
 
-    links = cut(_links(pairs, runs, least).filter("sim > 0"), "links")
-    if large.take(1):
-        found = cut(_links(_to_hubs(large, ["i", "a"], least), runs, least).filter("sim > 0"), "found")
-        links = links.unionByName(found)
+    near = 1 - least + 1e-9
+    links = cut(_links(pairs, runs, least).filter("sim > 0").select("u", "v"), "links")
+    groups, places, level = large.withColumn("g", F.xxhash64("i", "a")), None, 0
+    while groups.take(1):
+        members_of = _measured(groups, runs, least)
+        found = members_of.filter((F.col("d") <= near) & (F.col("u") != F.col("v"))).select("u", "v").distinct()
+        at = members_of.filter("d is not null").select("g", "node", "d")
+        places = at if places is None else places.unionByName(at)
+        # members near the centre but not linked are split too, as cheaper than what is left for the last step
         settled = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        left = large.join(settled, "node", "left_anti")
-        deeper = _split(left.withColumn("g", F.xxhash64("i", "a")), NEXT)
-        while True:
-            groups = cut(deeper, "groups")
-            small, large = _grouped(groups, ["g"])
-            large = cut(large, "large")
-            # the least member is compared with the others, so a group gets smaller each round in any case
-            hubs = large.groupBy("g").agg(F.min("node").alias("hub"))
-            rest = large.join(hubs, "g").filter("node <> hub")
-            asked = _pairs_within(small, ["g"], least).unionByName(rest.select(F.col("hub").alias("u"), F.col("node").alias("v"))).distinct()
-            found = cut(_links(asked, runs, least).filter("sim > 0"), "found")
-            links = links.unionByName(found)
-            if not large.take(1):
-                break
-            settled = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-            deeper = _split(_split(rest.join(settled, "node", "left_anti").drop("size", "hub"), DEEPER), DEEPER)
+        rest = members_of.filter(F.col("d").isNull() | (F.col("d") > 2 * near)).unionByName(members_of.filter((F.col("d") > near) & (F.col("d") <= 2 * near)).join(settled, "node", "left_anti").select(members_of.columns))
+        deeper = _split(_split(rest, DEEPER), DEEPER) if level else _split(rest, NEXT)
+        small, large = _grouped(cut(deeper, "groups"), ["g"])
+        links = links.unionByName(found).unionByName(cut(_links(_pairs_within(small, ["g"], least), runs, least).filter("sim > 0").select("u", "v"), "found"))
+        groups, level = cut(large, "large"), level + 1
+    if places is not None:
+        links = cut(links.distinct(), "links")
+        links = links.unionByName(cut(_links(_between_classes(places, links, least), runs, least).filter("sim > 0").select("u", "v"), "between"))
         links = cut(links.distinct(), "links")
 
     roots = components(links)

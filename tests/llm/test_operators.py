@@ -195,6 +195,14 @@ def test_near_dedup(spark):
             texts.append(" ".join(w))
     passage = " ".join(rng.choice(vocab, 60))
     texts += [f"{passage} {' '.join(rng.choice(vocab, 60))}" for _ in range(40)]
+    for k in range(40):  # pairs of which one is near the base text and the other links with that one alone
+        w = base[7].split()
+        for at in (3 * k % 110, (3 * k + 57) % 110):
+            w[at] = f"x{k}"
+        texts.append(" ".join(w))
+        for at in (1, 60):
+            w[(at + 3 * k) % 120] = f"y{k}"
+        texts.append(" ".join(w))
     rows = [(1000 + i, t) for i, t in enumerate(texts)]
     own, first = words([t for _, t in rows])
     s, sf = shingles(own, first, 5)
