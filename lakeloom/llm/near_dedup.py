@@ -4,12 +4,11 @@ Of every document the occurrence-labelled word runs are hashed under ``SKETCHES`
 with least hashes, kept in text order, so documents agree in it only if they share these runs in the same order.
 
 Copies (same words) are first collapsed to one node. Nodes that agree in a sketch are candidates. In groups of up to
-``SMALL`` nodes all pairs are taken. In larger groups each member's distance (1 - similarity) from the most central one is
-measured. Distances obey the triangle inequality, so members whose distances from the central one differ by more than a link
-allows can't link. Members far from it (more than two links) are split by a second sketch (each sketch with the ``NEXT``
-after it) and taken in the same way; what is left of large groups is split by two further sketches (each among the ``DEEPER``
-after the last), again and again until no large group is left. Last, of the members near a central one all pairs are compared
-that the inequality allows and that the links so far leave in different classes: no link between classes is lost to a group's size.
+``SMALL`` nodes all pairs are taken. In larger groups each member is compared with the most central one. The groups whose
+members are then still in different classes are finished exactly, by their rare runs: with the runs of each node in one
+order, the rarest first, two nodes can only link if they share a run among the first of both (as many as a link leaves
+unaligned, and one). So nodes are joined on these runs, and pairs of one class are left out. Passages that many documents
+share are not among their rarest runs, so work grows with the documents and not with the square of a group's size.
 
 A candidate pair is a link if the aligned runs in common make up ``SIMILARITY`` of all runs of both. The runs of a document
 are distinct once labelled, so the alignment is the longest increasing chain of matched places, within the band that a
@@ -35,7 +34,7 @@ from lakeloom.llm.tokens import labelled, mix, shingles, words
 
 RUN, SIMILARITY = 5, 0.8
 SKETCHES, ROWS = 16, 3
-SMALL, NEXT, DEEPER = 32, 5, 2
+SMALL = 32
 _SEEDS = [np.uint64(int.from_bytes(hashlib.blake2b(b"order-minhash %d" % i, digest_size=8).digest(), "little")) for i in range(SKETCHES)]
 _TOP = np.uint64(2**64 - 1)
 
@@ -117,6 +116,12 @@ def _flat(col: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32), (ends - ends[0]) // 4
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (part for whole in batches for part in by_bytes([whole], "runs")):
+        node, (run, at) = batch.column(0), _flat(batch.column(1))
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(np.repeat(np.arange(len(node)), np.diff(at)))), pa.array(run.view(np.int32))], names=["node", "run"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in by_bytes(by_bytes([whole], "runs_u"), "runs_v")):
         (a, at_a), (b, at_b) = _flat(batch.column(2)), _flat(batch.column(3))
@@ -152,35 +157,31 @@ def _grouped(rows: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     return sized.filter(F.col("size") <= SMALL), sized.filter(F.col("size") > SMALL)
 
 
-def _measured(rows: DataFrame, runs: DataFrame, least: float) -> DataFrame:
-    """``rows`` of groups g with ``d``: the distance from the group's most central member (whose groups have most members, then
-    the greatest node), null where it is over three times that of a link."""
-    floor = max(0.0, 1 - 3 * (1 - least))
+def _to_hubs(rows: DataFrame, least: float) -> DataFrame:
+    """(u, v): of each group g its most central member (whose groups have most members, then the greatest node) with the others."""
     central = rows.groupBy("node").agg(F.sum("size").alias("c"))
     hubs = rows.join(central, "node").groupBy("g").agg(F.max(F.struct("c", "node", "n")).alias("h")).select("g", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"))
-    both = cut(rows.join(hubs, "g").withColumn("u", F.least("node", "hub")).withColumn("v", F.greatest("node", "hub")), "hubs")
-    sims = _links(both.filter("u <> v").filter(F.least("n", "nh") >= floor * F.greatest("n", "nh")).select("u", "v").distinct(), runs, floor).filter("sim > 0")
-    d = F.when(F.col("u") == F.col("v"), F.lit(0.0)).otherwise(1 - F.col("sim"))
-    return cut(both.join(sims, ["u", "v"], "left").withColumn("d", d).select("g", "i", "node", "n", "sketch", "u", "v", "d"), "measured")
+    asked = rows.join(hubs, "g").filter(F.col("node") != F.col("hub")).filter(F.least("n", "nh") >= least * F.greatest("n", "nh"))
+    return asked.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
-def _between_classes(places: DataFrame, links: DataFrame, least: float) -> DataFrame:
-    """(u, v): the pairs of a group, one of them near its central member, that ``links`` leave in different classes and whose
-    distances from the central member (``places``: g, node, d) allow a link."""
-    far = 1 - least + 1e-6
-    placed = places.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _by_rare_runs(groups: DataFrame, runs: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """(u, v): the pairs of nodes of ``groups`` (g, node, n) not in one class by ``links`` that share a run among the rarest of
+    both, so all of them that can link."""
+    placed = groups.select("g", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("g")
-    placed = cut(placed.join(mixed, "g", "left_semi"), "placed")
-    x, y = (placed.select("g", F.col("node").alias(k), F.col("d").alias(f"d{k}"), F.col("root").alias(f"r{k}")) for k in "xy")
-    pairs = x.filter(F.col("dx") <= 2 * far).join(y, "g").filter("rx <> ry").filter(F.abs(F.col("dx") - F.col("dy")) <= far)
-    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-
-
-def _split(rows: DataFrame, following: int) -> DataFrame:
-    """(g, i, node, n, sketch): each group split by each of the ``following`` sketches after its last, i."""
-    after = F.transform(F.sequence(F.lit(1), F.lit(following)), lambda j: ((F.col("i") + j) % SKETCHES).cast("int"))
-    each = rows.select("g", "node", "n", "sketch", F.explode(after).alias("i"))
-    return each.withColumn("g", F.xxhash64("g", "i", F.element_at("sketch", F.col("i") + 1)))
+    nodes = cut(placed.join(mixed, "g", "left_semi").select("node", "n", "root").distinct(), "mixed")
+    own = cut(runs.join(nodes.select("node"), "node", "left_semi").mapInArrow(_exploded, "node binary, run int"), "runs")
+    often = own.groupBy("run").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # a run of one node matches none; in the order such runs come first
+    order = own.join(often, "run", "left").groupBy("node").agg(F.sum(F.when(F.col("often").isNull(), 1).otherwise(0)).alias("alone"), F.sort_array(F.collect_list(F.when(F.col("often").isNotNull(), F.struct("often", "run")))).alias("rest"))
+    left = F.floor(F.col("n") * (1 - least) + 1e-6) - F.col("alone")  # the last place of a run to look at
+    first = order.join(nodes, "node").filter(left >= 0).select("node", "n", "root", "alone", F.posexplode(F.slice("rest", F.lit(1), (left + 1).cast("int"))).alias("at", "r"))
+    first = cut(first.select(F.col("r.run").alias("run"), "node", "root", "n", (F.col("at") + F.col("alone")).alias("at")), "rare")
+    x, y = (first.select("run", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k in "uv")
+    need = least / (1 + least) * (F.col("nu") + F.col("nv")) - 1e-6
+    able = (F.col("atu") <= F.col("nu") - need) & (F.col("atv") <= F.col("nv") - need)
+    return x.join(y, "run").filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & able).select("u", "v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,34 +215,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = rows.select("doc_id", "node")
     nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
-    keyed = nodes.select("node", "n", "sketch", F.posexplode("sketch").alias("i", "a"))
+    keyed = nodes.select("node", "n", F.posexplode("sketch").alias("i", "a"))
     small, large = _grouped(keyed, ["i", "a"])
     pairs = cut(_pairs_within(small, ["i", "a"], least), "pairs")
-    large = cut(large.select("i", "a", "size", "node", "n", "sketch"), "large")
+    large = cut(large.select("i", "a", "size", "node", "n"), "large")
 
     # the word runs of the nodes that have candidates
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(large.select("node")).distinct()
     ids = cut(nodes.join(wanted, "node", "left_semi").select(key(F.col("rep")).alias("k")).distinct(), "ids")
     runs = cut(texts.join(bounded_broadcast(ids), key(texts["doc_id"]) == ids["k"], "left_semi").select("text").mapInArrow(_with_runs, "node binary, runs binary").filter("node is not null").groupBy("node").agg(F.first("runs").alias("runs")), "runs")
 
-    near = 1 - least + 1e-9
     links = cut(_links(pairs, runs, least).filter("sim > 0").select("u", "v"), "links")
-    groups, places, level = large.withColumn("g", F.xxhash64("i", "a")), None, 0
-    while groups.take(1):
-        members_of = _measured(groups, runs, least)
-        found = members_of.filter((F.col("d") <= near) & (F.col("u") != F.col("v"))).select("u", "v").distinct()
-        at = members_of.filter("d is not null").select("g", "node", "d")
-        places = at if places is None else places.unionByName(at)
-        # members near the centre but not linked are split too, as cheaper than what is left for the last step
-        settled = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        rest = members_of.filter(F.col("d").isNull() | (F.col("d") > 2 * near)).unionByName(members_of.filter((F.col("d") > near) & (F.col("d") <= 2 * near)).join(settled, "node", "left_anti").select(members_of.columns))
-        deeper = _split(_split(rest, DEEPER), DEEPER) if level else _split(rest, NEXT)
-        small, large = _grouped(cut(deeper, "groups"), ["g"])
-        links = links.unionByName(found).unionByName(cut(_links(_pairs_within(small, ["g"], least), runs, least).filter("sim > 0").select("u", "v"), "found"))
-        groups, level = cut(large, "large"), level + 1
-    if places is not None:
-        links = cut(links.distinct(), "links")
-        links = links.unionByName(cut(_links(_between_classes(places, links, least), runs, least).filter("sim > 0").select("u", "v"), "between"))
+    if large.take(1):
+        groups = large.withColumn("g", F.xxhash64("i", "a"))
+        links = cut(links.unionByName(_links(_to_hubs(groups, least), runs, least).filter("sim > 0").select("u", "v")).distinct(), "links")
+        links = links.unionByName(_links(_by_rare_runs(groups, runs, links, least), runs, least).filter("sim > 0").select("u", "v"))
         links = cut(links.distinct(), "links")
 
     roots = components(links)
