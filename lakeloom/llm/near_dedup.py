@@ -35,6 +35,8 @@ from lakeloom.llm.tokens import labelled, mix, shingles, words
 RUN, SIMILARITY = 5, 0.8
 SKETCHES, ROWS = 16, 3
 SMALL = 32
+#: Counts of runs, kept in every worker (8 MB), whatever the size of the input.
+COUNTERS = 1 << 20
 _SEEDS = [np.uint64(int.from_bytes(hashlib.blake2b(b"order-minhash %d" % i, digest_size=8).digest(), "little")) for i in range(SKETCHES)]
 _TOP = np.uint64(2**64 - 1)
 
@@ -116,10 +118,24 @@ def _flat(col: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32), (ends - ends[0]) // 4
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        held += np.bincount(_flat(batch.column(0))[0] & np.uint32(COUNTERS - 1), minlength=COUNTERS)
+    of = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(held[of])], names=["counter", "often"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], often: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in by_bytes([whole], "runs")):
-        node, (run, at) = batch.column(0), _flat(batch.column(1))
-        yield pa.RecordBatch.from_arrays([node.take(pa.array(np.repeat(np.arange(len(node)), np.diff(at)))), pa.array(run.view(np.int32))], names=["node", "run"])
+        run, ends = _flat(batch.column(2))
+        n = np.diff(ends)
+        text, c = np.repeat(np.arange(len(n)), n), often[run & np.uint32(COUNTERS - 1)]
+        order = np.lexsort((run, c, text))
+        at = np.arange(len(run)) - np.repeat(ends[:-1], n)
+        kept = (at <= np.repeat(np.floor(n * (1 - least) + 1e-6), n)) & (c[order] > 1)  # a run counted once matches none
+        of = pa.array(text[kept])
+        yield pa.RecordBatch.from_arrays([pa.array(run[order][kept].view(np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(n[text[kept]]), pa.array(at[kept])], names=["run", "node", "root", "n", "at"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -166,18 +182,18 @@ def _to_hubs(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _by_rare_runs(groups: DataFrame, runs: DataFrame, links: DataFrame, least: float) -> DataFrame:
-    """(u, v): the pairs of nodes of ``groups`` (g, node, n) not in one class by ``links`` that share a run among the rarest of
-    both, so all of them that can link."""
-    placed = groups.select("g", "node", "n").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """(u, v): the pairs of nodes of ``groups`` (g, node) not in one class by ``links`` that share a run among the rarest of
+    both, so all of them that can link. Runs are ordered by COUNTERS counts that runs of one low part share: any order that is
+    the same for all nodes finds all pairs, so only the work depends on them."""
+    placed = groups.select("g", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("g")
-    nodes = cut(placed.join(mixed, "g", "left_semi").select("node", "n", "root").distinct(), "mixed")
-    own = cut(runs.join(nodes.select("node"), "node", "left_semi").mapInArrow(_exploded, "node binary, run int"), "runs")
-    often = own.groupBy("run").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    # a run of one node matches none; in the order such runs come first
-    order = own.join(often, "run", "left").groupBy("node").agg(F.sum(F.when(F.col("often").isNull(), 1).otherwise(0)).alias("alone"), F.sort_array(F.collect_list(F.when(F.col("often").isNotNull(), F.struct("often", "run")))).alias("rest"))
-    left = F.floor(F.col("n") * (1 - least) + 1e-6) - F.col("alone")  # the last place of a run to look at
-    first = order.join(nodes, "node").filter(left >= 0).select("node", "n", "root", "alone", F.posexplode(F.slice("rest", F.lit(1), (left + 1).cast("int"))).alias("at", "r"))
-    first = cut(first.select(F.col("r.run").alias("run"), "node", "root", "n", (F.col("at") + F.col("alone")).alias("at")), "rare")
+    nodes = placed.join(mixed, "g", "left_semi").select("node", "root").distinct()
+    own = cut(nodes.join(runs, "node").select("node", "root", "runs"), "mixed")
+    counts = own.select("runs").mapInArrow(_counted, "counter long, often long").groupBy("counter").agg(F.sum("often").alias("often")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[counts["counter"].to_numpy()] = counts["often"].to_numpy()
+    shared = runs.sparkSession.sparkContext.broadcast(often)
+    first = cut(own.mapInArrow(lambda it: _rarest(it, shared.value, least), "run int, node binary, root binary, n long, at long"), "rare")
     x, y = (first.select("run", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k in "uv")
     need = least / (1 + least) * (F.col("nu") + F.col("nv")) - 1e-6
     able = (F.col("atu") <= F.col("nu") - need) & (F.col("atv") <= F.col("nv") - need)
