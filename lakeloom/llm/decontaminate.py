@@ -97,16 +97,14 @@ class TestSet:
         same = test[low:high] == doc[low + shift : high + shift]
         best = (0, 0.0)
         if same.sum() >= least:
-            # the segment with most matches less four times its mismatches: of those with IDENTITY or more, the longest runs
+            # of the segments with IDENTITY or more the one with most matches
             gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - IDENTITY, -IDENTITY))])
             floor = np.minimum.accumulate(gain)
-            ends = np.flatnonzero(gain - floor >= -1e-9)
             counts = np.concatenate([[0], np.cumsum(same)])
-            for end in ends[np.argsort(-(counts[ends]))][:64].tolist():
-                start = int(np.flatnonzero(gain[: end + 1] <= gain[end] + 1e-9)[0])
-                got = int(counts[end] - counts[start])
-                if end > start and got > best[0]:
-                    best = (got, got / (end - start))
+            starts = np.searchsorted(-floor, -(gain + 1e-9))  # of each end the first place from where the gain isn't negative
+            got = counts - counts[starts]
+            end = int(got.argmax())
+            best = (int(got[end]), float(got[end] / max(1, end - starts[end])))
             if best[0] < least:
                 best = (0, 0.0)
         if best[0] < math.ceil(IDENTITY * n) and n >= LEAST_WORDS:

@@ -47,6 +47,19 @@ def test_decontaminate(spark, docs):
     assert decontaminate.drop_contaminated(rows, bench).columns == rows.columns
 
 
+def test_longest_overlap():
+    rng = np.random.default_rng(1)
+    tests = decontaminate.TestSet([(1, " ".join(f"w{i}" for i in range(150)))])
+    n = len(tests.words)
+    for _ in range(60):
+        doc = tests.words.copy()
+        doc[rng.random(n) < rng.uniform(0.15, 0.6)] = 7
+        counts = np.concatenate([[0], np.cumsum(doc == tests.words)])
+        want = max(int(counts[b] - counts[a]) for a in range(n) for b in range(a + 1, n + 1) if counts[b] - counts[a] >= 0.8 * (b - a) - 1e-9)
+        if want < 0.8 * n:  # else the alignment of the whole item counts too
+            assert tests.overlap(doc, 0, 0)[0] == (want if want >= decontaminate.OVERLAP_WORDS else 0)
+
+
 def test_pii(spark):
     rows = [*ODD, (10, "mail jo.d@mail1.example.com or jo.d@mail1.example.com"), (11, "x jo.d@mail1.example.com, +1 (017) 555-7713 and 10.20.30.40."), (12, "Mrs Anna Schmidt met Mr. Peter Smith; Иван Петров"), (13, "card 4111 1111 1111 1111 or 4111111111111112 ssn 123-45-6789")]
     got = {r["doc_id"]: r for r in pii.replace_entities(odd(spark, rows), "k1").collect()}
