@@ -36,7 +36,7 @@ RUN, SIMILARITY = 5, 0.8
 SKETCHES, ROWS = 16, 3
 SMALL = 32
 #: Counts of runs, kept in every worker (8 MB), whatever the size of the input.
-COUNTERS = 1 << 20
+COUNTERS, BLOCK = 1 << 20, 1 << 12
 _SEEDS = [np.uint64(int.from_bytes(hashlib.blake2b(b"order-minhash %d" % i, digest_size=8).digest(), "little")) for i in range(SKETCHES)]
 _TOP = np.uint64(2**64 - 1)
 
@@ -118,12 +118,34 @@ def _flat(col: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32), (ends - ends[0]) // 4
 
 
+def _blocks(held: np.ndarray) -> pa.RecordBatch:
+    """The counters above 0, a row for each BLOCK of them: its number, the counters and their counts."""
+    at = np.flatnonzero(held)
+    edge = np.searchsorted(at, np.arange(0, COUNTERS + 1, BLOCK)).tolist()
+    full = [(i, at[a:b]) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int32()), pa.array([x.astype("<u4").tobytes() for _, x in full], pa.binary()), pa.array([held[x].tobytes() for _, x in full], pa.binary())], names=["block", "counters", "counts"])
+
+
+def _add(held: np.ndarray, batch: pa.RecordBatch | pa.Table) -> None:
+    for of, n in zip(batch.column("counters").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+        held[np.frombuffer(of, "<u4")] += np.frombuffer(n, np.int64)
+
+
+_COUNTS = "block int, counters binary, counts binary"
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         held += np.bincount(_flat(batch.column(0))[0] & np.uint32(COUNTERS - 1), minlength=COUNTERS)
-    of = np.flatnonzero(held)
-    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(held[of])], names=["counter", "often"])
+    yield _blocks(held)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        _add(held, batch)
+    yield _blocks(held)
 
 
 def _rarest(batches: Iterator[pa.RecordBatch], often: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
@@ -189,9 +211,9 @@ def _by_rare_runs(groups: DataFrame, runs: DataFrame, links: DataFrame, least: f
     mixed = placed.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("g")
     nodes = placed.join(mixed, "g", "left_semi").select("node", "root").distinct()
     own = cut(nodes.join(runs, "node").select("node", "root", "runs"), "mixed")
-    counts = own.select("runs").mapInArrow(_counted, "counter long, often long").groupBy("counter").agg(F.sum("often").alias("often")).toArrow()
+    counts = own.select("runs").mapInArrow(_counted, _COUNTS).repartition("block").mapInArrow(_summed, _COUNTS)
     often = np.zeros(COUNTERS, np.int64)
-    often[counts["counter"].to_numpy()] = counts["often"].to_numpy()
+    _add(often, counts.toArrow())  # COUNTERS / BLOCK rows at most
     shared = runs.sparkSession.sparkContext.broadcast(often)
     first = cut(own.mapInArrow(lambda it: _rarest(it, shared.value, least), "run int, node binary, root binary, n long, at long"), "rare")
     x, y = (first.select("run", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k in "uv")
