@@ -189,9 +189,10 @@ def _pairs_within(rows: DataFrame, on: list[str], least: float) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows of groups of 2 to SMALL nodes, and those of larger groups."""
-    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    sized = rows.join(sizes, on)
+    """The rows of groups of 2 to SMALL nodes, and those of larger groups. Sizes are stored before the join, and the join
+    before any other: joins of plain shuffles are dealt anew where a group is large."""
+    sizes = cut(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    sized = cut(rows.join(sizes, on), "sized")
     return sized.filter(F.col("size") <= SMALL), sized.filter(F.col("size") > SMALL)
 
 
@@ -199,6 +200,7 @@ def _to_hubs(rows: DataFrame, least: float) -> DataFrame:
     """(u, v): of each group g its most central member (whose groups have most members, then the greatest node) with the others."""
     central = rows.groupBy("node").agg(F.sum("size").alias("c"))
     hubs = rows.join(central, "node").groupBy("g").agg(F.max(F.struct("c", "node", "n")).alias("h")).select("g", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"))
+    hubs = bounded_broadcast(cut(hubs, "hubs"))
     asked = rows.join(hubs, "g").filter(F.col("node") != F.col("hub")).filter(F.least("n", "nh") >= least * F.greatest("n", "nh"))
     return asked.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
@@ -209,6 +211,7 @@ def _by_rare_runs(groups: DataFrame, runs: DataFrame, links: DataFrame, least: f
     the same for all nodes finds all pairs, so only the work depends on them."""
     placed = groups.select("g", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("g")
+    mixed = bounded_broadcast(cut(mixed, "mixed-groups"))
     nodes = placed.join(mixed, "g", "left_semi").select("node", "root").distinct()
     own = cut(nodes.join(runs, "node").select("node", "root", "runs"), "mixed")
     counts = own.select("runs").mapInArrow(_counted, _COUNTS).repartition("block").mapInArrow(_summed, _COUNTS)
@@ -256,7 +259,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = nodes.select("node", "n", F.posexplode("sketch").alias("i", "a"))
     small, large = _grouped(keyed, ["i", "a"])
     pairs = cut(_pairs_within(small, ["i", "a"], least), "pairs")
-    large = cut(large.select("i", "a", "size", "node", "n"), "large")
 
     # the word runs of the nodes that have candidates
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(large.select("node")).distinct()
