@@ -4,9 +4,10 @@ A rule (host, path) fits its host and all subdomains if the url's path starts wi
 fits, the labels of the host are split into words by a unigram Viterbi search, and a multinomial naive Bayes model scores the
 words of host and path.
 
-The unigram counts are those of all words of all pages, of which the ``MOST_WORDS`` most frequent are broadcast. The model is
-trained on all urls: those whose words hold one of ``BLOCK_WORDS`` are examples to block and the others examples to allow, so words
-that go along with these count too. Of its counts those of the ``MOST_WORDS`` most frequent words are broadcast.
+The unigram counts are those of all words of all pages. They stay in a table: the parts of a label that are at most ``LONGEST_WORD``
+letters long are joined with it, and each label is split by the counts of its own parts. The model is trained on all urls: those whose
+words hold one of ``BLOCK_WORDS`` are examples to block and the others examples to allow, so words that go along with these count
+too. Its counts stay in a table as well, and the words of the urls are joined with it. Work on words is done once for urls of equal tokens.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no words, and is allowed by the prior; repeated rows
 are judged each; null html adds no words; other columns are not looked at.
@@ -23,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, prepare_workers
+from lakeloom.llm.common import bounded_broadcast, cut, prepare_workers
 
 #: Rules: verdict, host and path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words that mark an url as an example to block.
 BLOCK_WORDS = ("adult", "bet", "casino", "cheap", "crack", "gambling", "hack", "loan", "loans", "malware", "nude", "phishing", "pills", "poker", "porn", "sex", "spam", "torrent", "viagra", "warez", "xxx")
-MOST_WORDS = 100_000
 LONGEST_WORD = 24
 #: Host labels that say nothing of the content.
 _PLAIN_LABELS = frozenset(("www", "m", "blog", "com", "net", "org", "example"))
@@ -53,82 +53,81 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 class Segmenter:
-    """The most likely split of a name into words by their unigram counts."""
+    """The most likely split of a name into words by their unigram counts, of ``total`` words in all."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) or 1
         self.cost = {w: math.log(total / n) for w, n in counts.items() if n > 0}
         self.unknown = [math.log(total) + n * math.log(10) for n in range(LONGEST_WORD + 1)]
-        self.known: dict[str, tuple[str, ...]] = {}
 
     def split(self, name: str) -> tuple[str, ...]:
-        got = self.known.get(name)
-        if got is None:
-            best, back = [0.0], [0]
-            for end in range(1, len(name) + 1):
-                options = ((best[a] + self.cost.get(name[a:end], self.unknown[end - a]), a) for a in range(max(0, end - LONGEST_WORD), end))
-                cost, a = min(options)
-                best.append(cost)
-                back.append(a)
-            out, end = [], len(name)
-            while end:
-                out.append(name[back[end] : end])
-                end = back[end]
-            got = tuple(reversed(out))
-            if len(self.known) < 200_000:
-                self.known[name] = got
-        return got
-
-    def words(self, host: str, path: str) -> list[str]:
-        """The words of a host's labels and of a path; a number counts as ``#``."""
-        out = []
-        for label in host.split("."):
-            if label not in _PLAIN_LABELS:
-                for part in _TOKEN.findall(label):
-                    out += ["#"] if part.isdigit() else self.split(part)
-        return out + ["/#" if t.isdigit() else "/" + t for t in _TOKEN.findall(path.lower())]
-
-
-class Bayes:
-    """Log odds of block against allow."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]], urls: tuple[int, int]):
-        block, allow = (sum(c[k] for c in counts.values()) for k in (0, 1))
-        size = len(counts) + 1
-        self.prior = math.log((urls[0] + 0.5) / (urls[1] + 0.5))
-        self.odds = {w: math.log((b + 1) / (block + size)) - math.log((a + 1) / (allow + size)) for w, (b, a) in counts.items()}
-
-    def score(self, words: list[str]) -> float:
-        return self.prior + sum(self.odds.get(w, 0.0) for w in words)
-
-
-def unigrams(pages: DataFrame, html_col: str = "html", most: int = MOST_WORDS) -> dict[str, int]:
-    """Counts of the most frequent words of all pages (markup left out); ties go by the word."""
+        best, back = [0.0], [0]
+        for end in range(1, len(name) + 1):
+            options = ((best[a] + self.cost.get(name[a:end], self.unknown[end - a]), a) for a in range(max(0, end - LONGEST_WORD), end))
+            cost, a = min(options)
+            best.append(cost)
+            back.append(a)
+        out, end = [], len(name)
+        while end:
+            out.append(name[back[end] : end])
+            end = back[end]
+        return tuple(reversed(out))
+
+
+def tokens_of(host: str, path: str) -> list[str]:
+    """The tokens of a host's labels, which are split later, and of a path; a number counts as ``#``."""
+    out = [t for label in host.split(".") if label not in _PLAIN_LABELS for t in _TOKEN.findall(label)]
+    return ["#" if t.isdigit() else t for t in out] + ["/#" if t.isdigit() else "/" + t for t in _TOKEN.findall(path.lower())]
+
+
+def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(w, n): the counts of all words of all pages (markup left out)."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"<[^>]*>", " "))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(1, LONGEST_WORD))
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    return {r["w"]: r["n"] for r in top.collect()}
+    return words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _tokens(segmenter: Segmenter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        host, path = (batch.column(i).to_pylist() for i in (0, 1))
-        words = [segmenter.words(h, p) for h, p in zip(host, path, strict=True)]
-        block = [any(w in BLOCK_WORDS for w in ws) for ws in words]
-        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(words, pa.list_(pa.string()))], names=["block", "words"])
+        host, path = (batch.column(n).to_pylist() for n in ("host", "path"))
+        tokens = [tokens_of(h, p) for h, p in zip(host, path, strict=True)]
+        yield batch.append_column("tokens", pa.array(tokens, pa.list_(pa.string())))
 
 
-def _scored(segmenter: Segmenter, bayes: Bayes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, w): the parts of each token that may be a word."""
     for batch in batches:
-        cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        words = [segmenter.words(h, p) for h, p in zip(cols["host"].to_pylist(), cols["path"].to_pylist(), strict=True)]
-        scores = [bayes.score(ws) for ws in words]
-        own = ["block" if s > 0 else "allow" for s in scores]
-        verdict = [r or o for r, o in zip(cols["by_rule"].to_pylist(), own, strict=True)]
-        yield pa.RecordBatch.from_arrays([cols["page_id"], cols["host"], cols["path"], cols["rule"], pa.array(verdict, pa.string()), pa.array(scores, pa.float64()), pa.array(words, pa.list_(pa.string()))], names=["page_id", "host", "path", "rule", "verdict", "score", "words"])
+        for t in batch.column(0).to_pylist():
+            for low in range(0, len(t), 1000):
+                parts = sorted({t[a:b] for a in range(low, min(low + 1000, len(t))) for b in range(a + 1, min(a + LONGEST_WORD, len(t)) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["token", "w"])
 
 
-def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = MOST_WORDS) -> DataFrame:
+def _split(total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        token, known = (batch.column(i).to_pylist() for i in (0, 1))
+        words = [Segmenter({k["w"]: k["n"] for k in ks or ()}, total).split(t) for t, ks in zip(token, known, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["token", "split"])
+
+
+def splits(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """(token, split): the words of each of the distinct ``tokens`` by all of ``counts``."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    known = tokens.mapInArrow(_parts, "token string, w string").join(counts, "w").groupBy("token").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    return tokens.join(known, "token", "left").mapInArrow(lambda it: _split(total, it), "token string, split array<string>")
+
+
+def log_odds(worded: DataFrame) -> tuple[float, DataFrame]:
+    """The prior log odds of block against allow, and (w, odds) of all words of ``worded`` (block, n, words)."""
+    urls = {r["block"]: r["n"] for r in worded.groupBy("block").agg(F.sum("n").alias("n")).collect()}
+    each = worded.select("block", "n", F.explode("words").alias("w"))
+    counts = cut(each.groupBy("w").agg(F.sum(F.when(F.col("block"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(~F.col("block"), F.col("n")).otherwise(0)).alias("a")), "url-counts")
+    all_ = counts.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.count(F.lit(1)).alias("size")).first()
+    share = lambda c: F.log((F.col(c) + 1) / F.lit(float(all_[c] + all_["size"] + 1)))
+    return math.log((urls.get(True, 0) + 0.5) / (urls.get(False, 0) + 0.5)), counts.select("w", (share("b") - share("a")).alias("odds"))
+
+
+def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row per row of ``pages``: ``page_id, host, path, rule, verdict, score`` (the model's log odds of block) and ``words``."""
     spark = pages.sparkSession
     prepare_workers(spark)
@@ -137,11 +136,24 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     parts = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url_")).select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
-    segmenter = spark.sparkContext.broadcast(Segmenter(unigrams(pages, html_col, most)))
-    tokens = parts.select("host", "path").mapInArrow(lambda it: _tokens(segmenter.value, it), "block boolean, words array<string>")
-    tokens = cut(tokens.groupBy("block", F.col("words")).agg(F.count(F.lit(1)).alias("n")), "url-words")
-    urls = {r["block"]: r["n"] for r in tokens.groupBy("block").agg(F.sum("n").alias("n")).collect()}
-    by_word = tokens.select("block", "n", F.explode("words").alias("w")).groupBy("w").agg(F.sum(F.when(F.col("block"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(~F.col("block"), F.col("n")).otherwise(0)).alias("a"))
-    counts = {r["w"]: (r["b"], r["a"]) for r in by_word.orderBy(F.desc(F.col("a") + F.col("b")), "w").limit(most).collect()}
-    bayes = spark.sparkContext.broadcast(Bayes(counts, (urls.get(True, 0), urls.get(False, 0))))
-    return judged.mapInArrow(lambda it: _scored(segmenter.value, bayes.value, it), "page_id long, host string, path string, rule string, verdict string, score double, words array<string>")
+    judged = cut(judged.mapInArrow(_tokens, "page_id long, host string, path string, rule string, by_rule string, tokens array<string>"), "url-tokens")
+    lists = cut(judged.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).withColumn("list", F.monotonically_increasing_id()), "url-lists")
+
+    # the words of each list of tokens
+    each = lists.select("list", F.posexplode("tokens").alias("at", "token"))
+    names = cut(each.filter(~F.startswith("token", F.lit("/")) & (F.col("token") != "#")).select("token").distinct(), "url-names")
+    split = bounded_broadcast(cut(splits(names, cut(unigrams(pages, html_col), "unigrams")), "url-splits"))
+    own = each.join(split, "token", "left").select("list", "at", F.coalesce("split", F.array("token")).alias("own"))
+    joined = own.groupBy("list").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "own"))), lambda x: x["own"])).alias("words"))
+    words = F.coalesce("words", F.array().cast("array<string>"))
+    block = F.exists(words, lambda w: w.isin(*BLOCK_WORDS))
+    worded = cut(lists.join(joined, "list", "left").select("list", "tokens", "n", words.alias("words"), block.alias("block")), "url-words")
+
+    prior, odds = log_odds(worded)
+    odds = bounded_broadcast(cut(odds, "url-odds"))
+    each = worded.select("list", F.posexplode("words").alias("at", "w")).join(odds, "w")
+    gains = each.groupBy("list").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("at", "odds"))), F.lit(0.0), lambda s, x: s + x["odds"]).alias("gain"))
+    scored = worded.join(gains, "list", "left").select("tokens", "words", (F.lit(prior) + F.coalesce("gain", F.lit(0.0))).alias("score"))
+    scored = bounded_broadcast(cut(scored, "url-scores"))
+    verdict = F.coalesce("by_rule", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return judged.join(scored, "tokens").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", "words")

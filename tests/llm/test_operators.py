@@ -262,6 +262,15 @@ def test_urls(spark):
     assert urls.Segmenter({"cheap": 5, "pills": 5, "a": 9}).split("cheappills") == ("cheap", "pills")
 
 
+def test_urls_all_words(spark):
+    names = ["q" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(110_000)]  # more than the two of the host
+    often = [(i, "http://other.example.org/" + "/".join(names[i * 1000 : i * 1000 + 1000]), None) for i in range(110)] * 2
+    rows = [(5000, "http://zzredzzblue.example.org/", f"<p>{' '.join(names * 2)} zzred zzblue</p>"), (5001, "http://casino.example.org/zzrare", None), (5002, "http://other.example.org/zzrare", None), (5003, "http://other.example.org/", None), *often]
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).filter("page_id >= 5000").collect()}
+    assert got[5000]["words"] == ["zzred", "zzblue"]
+    assert got[5002]["words"][-1] == "/zzrare" and got[5002]["score"] > got[5003]["score"] + 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
