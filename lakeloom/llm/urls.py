@@ -6,8 +6,8 @@ words of host and path.
 
 The unigram counts are those of all words of all pages. They stay in a table: the parts of a label that are at most ``LONGEST_WORD``
 letters long are joined with it, and each label is split by the counts of its own parts. The model is trained on all urls: those whose
-words hold one of ``BLOCK_WORDS`` are examples to block and the others examples to allow, so words that go along with these count
-too. Its counts stay in a table as well, and the words of the urls are joined with it. Work on words is done once for urls of equal tokens.
+words of host or path hold one of ``BLOCK_WORDS`` or its plural are examples to block and the others examples to allow, so words that
+go along with these count too. Words of a path are split like those of a host and begin with ``/``. Its counts stay in a table as well, and the words of the urls are joined with it. Work on words is done once for urls of equal tokens.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no words, and is allowed by the prior; repeated rows
 are judged each; null html adds no words; other columns are not looked at.
@@ -33,6 +33,8 @@ BLOCK_WORDS = ("adult", "bet", "casino", "cheap", "crack", "gambling", "hack", "
 LONGEST_WORD = 24
 #: Host labels that say nothing of the content.
 _PLAIN_LABELS = frozenset(("www", "m", "blog", "com", "net", "org", "example"))
+#: Words to block and their plurals.
+_BLOCK = tuple(sorted({*BLOCK_WORDS, *(w + "s" for w in BLOCK_WORDS)}))
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -75,7 +77,7 @@ class Segmenter:
 
 
 def tokens_of(host: str, path: str) -> list[str]:
-    """The tokens of a host's labels, which are split later, and of a path; a number counts as ``#``."""
+    """The tokens of a host's labels and of a path, which are split later; a number counts as ``#``."""
     out = [t for label in host.split(".") if label not in _PLAIN_LABELS for t in _TOKEN.findall(label)]
     return ["#" if t.isdigit() else t for t in out] + ["/#" if t.isdigit() else "/" + t for t in _TOKEN.findall(path.lower())]
 
@@ -140,13 +142,15 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     lists = cut(judged.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).withColumn("list", F.monotonically_increasing_id()), "url-lists")
 
     # the words of each list of tokens
-    each = lists.select("list", F.posexplode("tokens").alias("at", "token"))
-    names = cut(each.filter(~F.startswith("token", F.lit("/")) & (F.col("token") != "#")).select("token").distinct(), "url-names")
+    each = lists.select("list", F.posexplode("tokens").alias("at", "t"))
+    sign = F.when(F.startswith("t", F.lit("/")), "/").otherwise("")
+    each = each.select("list", "at", sign.alias("sign"), F.ltrim("t", F.lit("/")).alias("token"))
+    names = cut(each.filter("token <> '#'").select("token").distinct(), "url-names")
     split = bounded_broadcast(cut(splits(names, cut(unigrams(pages, html_col), "unigrams")), "url-splits"))
-    own = each.join(split, "token", "left").select("list", "at", F.coalesce("split", F.array("token")).alias("own"))
+    own = each.join(split, "token", "left").select("list", "at", F.transform(F.coalesce("split", F.array("token")), lambda w: F.concat("sign", w)).alias("own"))
     joined = own.groupBy("list").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "own"))), lambda x: x["own"])).alias("words"))
     words = F.coalesce("words", F.array().cast("array<string>"))
-    block = F.exists(words, lambda w: w.isin(*BLOCK_WORDS))
+    block = F.exists(words, lambda w: F.ltrim(w, F.lit("/")).isin(*_BLOCK))
     worded = cut(lists.join(joined, "list", "left").select("list", "tokens", "n", words.alias("words"), block.alias("block")), "url-words")
 
     prior, odds = log_odds(worded)

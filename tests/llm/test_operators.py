@@ -271,6 +271,14 @@ def test_urls_all_words(spark):
     assert got[5002]["words"][-1] == "/zzrare" and got[5002]["score"] > got[5003]["score"] + 1
 
 
+def test_urls_block_words_of_paths(spark):
+    rows = ["http://good.example.org/casino/poker", "http://good.example.org/onlinecasino", "http://free-bets.example.org/", *["http://plain.example.org/garden"] * 9]
+    pages = spark.createDataFrame([(i, u, "<p>online casino garden plain good free bets</p>") for i, u in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urls.judge_urls(pages).collect()}
+    assert got[1]["words"] == ["good", "/online", "/casino"]
+    assert [got[i]["verdict"] for i in range(len(rows))] == ["block"] * 3 + ["allow"] * 9
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
