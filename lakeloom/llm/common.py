@@ -59,6 +59,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A number of each row, unlike an id never null and never repeated.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, stored, with the column ROW."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (from ``numbered``) whose ROW isn't in ``gone`` (stored), without ROW."""
+    return docs.join(bounded_broadcast(gone.select(ROW)), ROW, "left_anti").drop(ROW)
+
+
 def key(col) -> F.Column:
     """A join key for an id that may be null."""
     return F.coalesce(col.cast("long"), F.lit(NULL_ID))

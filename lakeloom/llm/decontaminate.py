@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import bounded_broadcast, by_bytes, cut, key, prepare_workers, texts_of
+from lakeloom.llm.common import ROW, by_bytes, cut, numbered, prepare_workers, texts_of, without
 from lakeloom.llm.tokens import mix, words
 
 #: Word positions that count, of a window; all of weight five.
@@ -160,5 +160,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark; all their columns stay."""
-    bad = cut(decontaminate(docs, benchmark, id_col, text_col).filter("contaminated").select(key(F.col("doc_id")).alias("__bad")), "bad")
-    return docs.join(bounded_broadcast(bad), key(docs[id_col]) == bad["__bad"], "left_anti")
+    docs = numbered(docs)
+    return without(docs, cut(decontaminate(docs, benchmark, ROW, text_col).filter("contaminated").select(F.col("doc_id").alias(ROW)), "bad"))

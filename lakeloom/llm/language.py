@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import by_bytes, cut, prepare_workers, texts_of
+from lakeloom.llm.common import ROW, by_bytes, cut, numbered, prepare_workers, texts_of, without
 
 BINS = 1 << 18
 SAMPLE, MOST_LANGUAGES = 3000, 200
@@ -173,8 +173,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def drop_unidentified(docs: DataFrame, least_score: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without those of no identified language (``und``, or a score under ``least_score``); all columns stay."""
-    from lakeloom.llm.common import bounded_broadcast, key
-
-    found = identify(docs, learn(docs, id_col, text_col, lang_col), id_col, text_col)
-    gone = cut(found.filter((F.col("lang_pred") == "und") | (F.col("score") < least_score)).select(key(F.col("doc_id")).alias("__gone")).distinct(), "unidentified")
-    return docs.join(bounded_broadcast(gone), key(docs[id_col]) == gone["__gone"], "left_anti")
+    docs = numbered(docs)
+    found = identify(docs, learn(docs, id_col, text_col, lang_col), ROW, text_col)
+    return without(docs, cut(found.filter((F.col("lang_pred") == "und") | (F.col("score") < least_score)).select(F.col("doc_id").alias(ROW)), "unidentified"))

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import bounded_broadcast, by_bytes, cut, key, prepare_workers, texts_of
+from lakeloom.llm.common import ROW, bounded_broadcast, by_bytes, cut, key, numbered, prepare_workers, texts_of, without
 from lakeloom.llm.tokens import labelled, mix, shingles, words
 
 RUN, SIMILARITY = 5, 0.8
@@ -76,7 +76,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first = words(texts_of(batch, "text"))
         runs, run_first = shingles(own, first, RUN)
         rows = sketches(labelled(runs, run_first), run_first).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_digests(own, first), pa.binary()), pa.array(np.diff(run_first)), pa.array(list(rows), pa.list_(pa.int64()))], names=["doc_id", "node", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_digests(own, first), pa.binary()), pa.array(np.diff(run_first)), pa.array(list(rows), pa.list_(pa.int64()))], names=[ROW, "doc_id", "node", "n", "sketch"])
 
 
 def _with_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,13 +248,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """A row per row of ``docs``: ``doc_id, class_id`` (the least id of its class), ``class_size`` (rows), ``n_links`` (verified
-    links of its text to other texts) and ``kept`` (one document of each class: the one with the least id)."""
+    links of its text to other texts) and ``kept`` (one row of each class: of those with the least id, or of all if no id is
+    known, the first)."""
+    return _row_classes(docs, F.monotonically_increasing_id(), id_col, text_col, least).drop(ROW)
+
+
+def _row_classes(docs: DataFrame, row: Column, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
+    """``near_classes`` with the column ROW; ``row`` numbers the rows of ``docs``."""
     spark: SparkSession = docs.sparkSession
     prepare_workers(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(texts.mapInArrow(_sketched, "doc_id long, node binary, n long, sketch array<long>"), "sketches")
-    members = rows.select("doc_id", "node")
-    nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    given = docs.select(row.alias(ROW), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = cut(given.mapInArrow(_sketched, f"{ROW} long, doc_id long, node binary, n long, sketch array<long>"), "sketches")
+    members = rows.select(ROW, "doc_id", "node")
+    nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW)).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
     keyed = nodes.select("node", "n", F.posexplode("sketch").alias("i", "a"))
     small, large = _grouped(keyed, ["i", "a"])
@@ -274,14 +281,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     roots = components(links)
     degree = links.select("u", "v").distinct().select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classed = nodes.select("node", "rep", "rows").join(roots, "node", "left").join(degree, "node", "left").select("node", "rep", "rows", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    sizes = classed.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("rows").alias("class_size"))
-    classed = classed.join(sizes, "root").select("node", "class_id", "class_size", "n_links")
+    classed = nodes.select("node", "rep", "first", "rows").join(roots, "node", "left").join(degree, "node", "left").select("node", "rep", "first", "rows", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sizes = classed.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("first").alias("first"), F.sum("rows").alias("class_size"))
+    classed = classed.drop("first").join(sizes, "root").select("node", "class_id", F.col(f"first.{ROW}").alias("stays"), "class_size", "n_links")
     out = members.join(classed, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("doc_id").eqNullSafe(F.coalesce("class_id", "doc_id")), F.lit(True)).alias("kept"))
+    return out.select(ROW, "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col(ROW) == F.col("stays"), F.lit(True)).alias("kept"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class; all columns stay."""
-    gone = cut(near_classes(docs, id_col, text_col).filter("not kept").select(key(F.col("doc_id")).alias("__gone")), "gone")
-    return docs.join(bounded_broadcast(gone), key(docs[id_col]) == gone["__gone"], "left_anti")
+    docs = numbered(docs)
+    return without(docs, cut(_row_classes(docs, F.col(ROW), id_col, text_col).filter("not kept").select(ROW), "gone"))

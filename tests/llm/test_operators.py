@@ -293,3 +293,21 @@ def test_pipeline(spark):
         n = now.count()
     pieces = corpus_pipeline.run(spark, sf)
     assert pieces.select("doc_id").distinct().count() == n
+
+
+def test_stages_decide_by_row(spark):
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(rng.choice([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)], 60))
+    near = lambda t: t + " end"
+    a, b, c = text(), text(), text()
+    rows = [(None, a), (None, near(a)), (None, text()), (None, text()), (7, b), (7, near(b)), (7, text()), (8, c), (None, near(c)), (None, "123 456"), (7, "... !"), (None, "")]
+    docs = odd(spark, rows)
+    texts = lambda df: sorted(r["text"] for r in df.collect())
+    classes = near_dedup.near_classes(docs).collect()
+    assert len(classes) == len(rows) and sum(r["kept"] for r in classes) == len(rows) - 3
+    got = texts(near_dedup.drop_near(docs))
+    assert len(got) == len(rows) - 3 and all((t in got) != (near(t) in got) for t in (a, b)) and c in got and near(c) not in got
+    assert {t for _, t in rows[2:4] + rows[6:7] + rows[9:]} <= set(got)
+    assert texts(language.drop_unidentified(docs, 0.0)) == sorted(t for _, t in rows[:9])
+    bench = spark.createDataFrame([(1, rows[2][1]), (2, rows[4][1])], "item_id long, text string")
+    assert texts(decontaminate.drop_contaminated(docs, bench)) == sorted(t for i, (_, t) in enumerate(rows) if i not in (2, 4, 5))
