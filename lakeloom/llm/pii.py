@@ -35,7 +35,7 @@ _NAMES = "|".join((*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC))
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "secret": r"(?<!\w)(?=[0-9a-f]*\d)[0-9a-f]{32,64}(?!\w)",
+    "secret": r"(?<!\w)(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{32,}+(?!\w)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "phone": r"(?<!\w)\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -131,6 +131,13 @@ def _name(v: Column, secret: str, attempt: Column) -> Column:
     return F.array_join(F.transform(F.split(v, " "), part), " ")
 
 
+def _hex(v: Column, secret: str, attempt: Column) -> Column:
+    """Secrets in one case keep it, and are one secret in both; in mixed ones every letter keeps its case."""
+    one = _let(_permuted(F.lower(v), secret, "secret", attempt, (HEX,)), lambda new: F.when(v == F.lower(v), new).otherwise(F.upper(new)))
+    mixed = _permuted(v, secret, "secret", attempt, (HEX[:10], HEX[10:], HEX[10:].upper()))
+    return F.when((v == F.lower(v)) | (v == F.upper(v)), one).otherwise(mixed)
+
+
 def kind_of(value: Column) -> Column:
     out = F.lit("name")
     for kind, pattern in reversed(list(PATTERNS.items())[:-1]):
@@ -150,7 +157,7 @@ def surrogate(value: Column, kind: Column, secret: str, attempt: Column) -> Colu
         .when(kind == "phone", F.concat(code, _permuted(number, secret, "phone", attempt)))
         .when(kind == "card", _card(value, secret, attempt))
         .when(kind == "iban", F.concat(country, _permuted(account, secret, "iban", attempt)))
-        .when(kind == "secret", _permuted(value, secret, "secret", attempt, (HEX,)))
+        .when(kind == "secret", _hex(value, secret, attempt))
         .when(kind == "name", _name(value, secret, attempt))
         .otherwise(_permuted(value, secret, "ssn", attempt))
     )

@@ -89,6 +89,19 @@ def test_pii_distinct(spark):
     assert len(set(final.values())) == 6 and not set(final.values()) & set(final)
 
 
+def test_pii_hex_secrets(spark):
+    low = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(20)]
+    long = hashlib.sha512(b"key").hexdigest()
+    values = [*low, *(v.upper() for v in low), *(v[:20] + v[20:].upper() for v in low), low[0][:40].upper(), long, long.upper()]
+    got = {r["doc_id"]: r for r in pii.replace_entities(odd(spark, [(i, f'TOKEN = "{v}"') for i, v in enumerate(values)]), "k").collect()}
+    new = [got[i]["text"][9:-1] for i in range(len(values))]
+    assert all(got[i]["kinds"] == ["secret"] and v not in got[i]["text"] for i, v in enumerate(values))
+    assert len(set(new)) == len(new) and [len(v) for v in new] == [len(v) for v in values]
+    same = {True: str.upper, False: str.lower}
+    assert all(same[v == v.upper()](n) == n for v, n in zip(values, new, strict=True) if v in (v.upper(), v.lower()))
+    assert all([(c.isdigit(), c.isupper()) for c in v] == [(c.isdigit(), c.isupper()) for c in n] for v, n in zip(values[40:60], new[40:60], strict=True))
+
+
 def brute_repair(roles):
     best = {"start": 0}
     for role in roles:
