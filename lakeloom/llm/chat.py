@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, key, prepare_workers
+from lakeloom.llm.common import cut, key, prepare_workers, task
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Of each state (the role of the last turn, or the start) the roles that may follow.
@@ -158,11 +158,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[t
         yield at, held
 
 
+@task
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (conv, segment), rows in _segments(batches):
         yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([segment], pa.int64()), pa.array([costs([r[3] for r in rows])], pa.list_(pa.list_(pa.int64())))], names=["conv", "segment", "matrix"])
 
 
+@task
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         conv, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -176,6 +178,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _OUT = pa.schema([("conv", pa.int64()), ("segment", pa.int64()), ("at", pa.int64()), ("turn", pa.int64()), ("role_in", pa.string()), ("role", pa.string()), ("action", pa.string()), ("cost", pa.int64()), ("piece", pa.string())])
 
 
+@task
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     for (conv, segment), rows in _segments(batches):

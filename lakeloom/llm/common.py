@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,15 +17,18 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id in join keys, which never match on null.
 NULL_ID = -(2**63)
-#: Rows of one Arrow batch; texts vary in length, so batches are cut again by bytes in the workers.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch; a batch ends with the row that reaches either.
+ARROW_ROWS, ARROW_BYTES = 512, 4_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one in /tmp is set only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one in /tmp is set in local mode, and
+    on a cluster that is an error, as executors couldn't see the folder."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lakeloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -42,8 +47,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def prepare_workers(spark: SparkSession) -> None:
     """Ship this package to the executors once, and keep the Arrow batches that reach Python workers small, whatever the
-    lengths of the texts."""
+    lengths of the texts. Plans run after their operator has returned, so the session keeps both settings."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if not getattr(sc, "_lakeloom_shipped", False):
         package = Path(__file__).resolve().parents[1]
@@ -55,6 +61,32 @@ def prepare_workers(spark: SparkSession) -> None:
         sc._lakeloom_shipped = True
 
 
+_held: dict = {}
+
+
+def held(name: tuple, make: Callable):
+    """A worker's table or model, made on first use. A worker holds one at a time: workers serve all stages of a job."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def task(function):
+    """A function of batches whose worker gives memory that is free back to the system when it has ended."""
+
+    @functools.wraps(function)
+    def run(*args):
+        yield from function(*args)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,6 +5,9 @@ of its pieces in order, and the ids of frequent pieces come from a bounded table
 
 * ``word``: what white space separates (white space itself has no ids);
 * ``byte``: a run of other characters with the one blank before it, or white space that precedes no such blank.
+
+A text that holds the string of one of the vocabulary's added tokens is encoded whole by the library, as its pieces don't show
+where that token is cut out.
 """
 
 from __future__ import annotations
@@ -15,8 +18,12 @@ from array import array
 
 from tokenizers import Tokenizer
 
-#: Pieces, and words within pieces, remembered by a worker; then it starts anew.
-MOST_PIECES = 500_000
+from lakeloom.llm.common import held
+
+#: Bytes of memory that a worker's table of pieces may take; it holds those of the last TABLE_BYTES / 2 or more.
+TABLE_BYTES = 160_000_000
+#: What an entry takes besides its texts: two objects and a place in a dictionary.
+_ENTRY = 180
 #: The longest piece that is remembered.
 LONGEST = 64
 #: A piece that is one word of Latin letters with other marks after it: both vocabularies cut between the two.
@@ -46,58 +53,78 @@ _LETTERS = _byte_letters()
 
 
 class _Table(dict):
-    """The ids of pieces; what is missing is made, and kept unless it is long."""
+    """The ids of pieces; what is missing is made, and kept unless it is long. A full table becomes the old one, from which pieces
+    that come again are taken back, so its memory is bounded by ``most`` bytes and frequent pieces stay."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.old, self.held = make, most, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
         if len(piece) <= LONGEST:
+            self.held += _ENTRY + len(piece) + len(ids)
+            if 2 * self.held > self.most:
+                self.old, self.held = dict(self), 0
+                self.clear()
             self[piece] = ids
         return ids
 
 
 class Encoder:
-    """``ids(text)``: its ids as little-endian unsigned 32-bit integers."""
+    """``batch(texts)``: their ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, kind: str):
         if kind not in ("word", "byte"):
             raise ValueError(f"kind is {kind!r}; it must be 'word' or 'byte'")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = kind
+        #: Added tokens, as the vocabulary's normaliser may write them.
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.signs = sorted({t[0] for t in self.added})
         self.model = self.tokenizer.model
-        self.plain = _Table(self._piece)
         line_end = self.whole("\n") if kind == "byte" else b""
-        self.known = _Table(lambda p: line_end + self._piece(p[1:]) if p[0] == "\0" else self._piece(" " + p))
-        self.cores: dict[str, bytes] = {}
+        # most pieces follow a blank or, marked by \0, a line end; ``plain`` has those that stand for themselves
+        self.known = _Table((lambda p: line_end + self._piece(p[1:]) if p[0] == "\0" else self._after_blank(p)) if kind == "byte" else self._piece, TABLE_BYTES)
+        self.plain = _Table(self._piece, TABLE_BYTES // 16)
+        self.marks = _Table(self._core, TABLE_BYTES // 16)
+
+    def width(self) -> int:
+        """Bytes that hold any id of the vocabulary: 2 or 4."""
+        return 2 if max(self.tokenizer.get_vocab_size(), *(i + 1 for i in self.tokenizer.get_added_tokens_decoder()), 0) <= 1 << 16 else 4
 
     def whole(self, text: str) -> bytes:
         return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _has_added(self, text: str) -> bool:
+        if not any(s in text for s in self.signs):
+            return False
+        lower = text.lower()
+        return any(t in lower for t in self.added)
+
     def _core(self, word: str) -> bytes:
         """The ids of a run of letters or of marks, which the library's model takes as one word."""
-        got = self.cores.get(word)
-        if got is None:
-            if word.isascii() and " " not in word:
-                spelled = word
-            else:
-                spelled = "".join([_LETTERS[b] for b in word.encode()])
-            got = self.cores[word] = _little([t.id for t in self.model.tokenize(spelled)])
-        return got
+        spelled = word if word.isascii() and " " not in word else "".join([_LETTERS[b] for b in word.encode()])
+        return _little([t.id for t in self.model.tokenize(spelled)])
+
+    def _after_blank(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return _little([t.id for t in self.model.tokenize(_LETTERS[32] + word)])
+        return self._piece(" " + word)
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return _little([t.id for t in self.model.tokenize(piece.lower() if self.kind == "word" else piece)])
         plain = _PLAIN.fullmatch(piece)
         if not plain:
             return self.whole(piece)
         blank, word, marks = plain.groups()
         first = self._core(word.lower() if self.kind == "word" else blank + word)
-        return first + self._core(marks) if marks else first
+        return first + self.marks[marks] if marks else first
 
     def _byte_ids(self, text: str) -> bytes:
-        """As ``whole``; words after a blank are looked up as they are, and others with a mark for what is before them."""
         if text != text.strip() or any(x in text for x in (_UNEVEN[:9] if text.isascii() else _UNEVEN)):
             return b"".join([self.plain[p] for p in _RUNS.findall(text)])
         first, *rest = text.replace("\n", " \0").split(" ")
@@ -105,27 +132,19 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        for table in (self.known, self.plain, self.cores):
-            if len(table) > MOST_PIECES:
-                table.clear()
         out = []
         for t in texts:
             if not t:
                 out.append(b"")
-            elif not t.isascii() and any(x in t for x in _ODD) or t.isascii() and any(x in t for x in _ODD[:4]):
+            elif any(x in t for x in (_ODD[:4] if t.isascii() else _ODD)) or self._has_added(t):
                 out.append(self.whole(t))
             elif self.kind == "word":
-                out.append(b"".join(map(self.plain.__getitem__, t.split())))
+                out.append(b"".join(map(self.known.__getitem__, t.split())))
             else:
                 out.append(self._byte_ids(t))
         return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, kind: str) -> Encoder:
-    """The worker's own encoder of a vocabulary file, made on first use."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, kind)
-    return _encoders[path, kind]
+    """The worker's own encoder of a vocabulary file."""
+    return held((path, kind), lambda: Encoder(path, kind))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import ROW, bounded_broadcast, by_bytes, cut, key, numbered, prepare_workers, texts_of, without
+from lakeloom.llm.common import ROW, bounded_broadcast, by_bytes, cut, key, numbered, prepare_workers, task, texts_of, without
 from lakeloom.llm.tokens import labelled, mix, shingles, words
 
 RUN, SIMILARITY = 5, 0.8
@@ -71,6 +71,7 @@ def _digests(hashes: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     return [hashlib.md5(hashes[a:b].tobytes()).digest() if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
+@task
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text"):
         own, first = words(texts_of(batch, "text"))
@@ -79,6 +80,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_digests(own, first), pa.binary()), pa.array(np.diff(run_first)), pa.array(list(rows), pa.list_(pa.int64()))], names=[ROW, "doc_id", "node", "n", "sketch"])
 
 
+@task
 def _with_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text"):
         own, first = words(texts_of(batch, "text"))
@@ -134,6 +136,7 @@ def _add(held: np.ndarray, batch: pa.RecordBatch | pa.Table) -> None:
 _COUNTS = "block int, counters binary, counts binary"
 
 
+@task
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(COUNTERS, np.int64)
     for batch in batches:
@@ -141,6 +144,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _blocks(held)
 
 
+@task
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(COUNTERS, np.int64)
     for batch in batches:
@@ -148,6 +152,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _blocks(held)
 
 
+@task
 def _rarest(batches: Iterator[pa.RecordBatch], often: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in by_bytes([whole], "runs")):
         run, ends = _flat(batch.column(2))
@@ -160,6 +165,7 @@ def _rarest(batches: Iterator[pa.RecordBatch], often: np.ndarray, least: float)
         yield pa.RecordBatch.from_arrays([pa.array(run[order][kept].view(np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(n[text[kept]]), pa.array(at[kept])], names=["run", "node", "root", "n", "at"])
 
 
+@task
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in by_bytes(by_bytes([whole], "runs_u"), "runs_v")):
         (a, at_a), (b, at_b) = _flat(batch.column(2)), _flat(batch.column(3))

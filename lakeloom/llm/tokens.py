@@ -29,12 +29,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(_PIECE, 1 << (n - 1).bit_length())
-    if size not in _powers:
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+    """Powers of the base and of its inverse; those for a piece of usual length are kept."""
+    size = max(_PIECE + 1024, n)
+    if size in _powers:
+        return _powers[size]
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
+    if size == _PIECE + 1024:
+        _powers[size] = up, down
+    return up, down
 
 
 def _piece_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import bounded_broadcast, cut, prepare_workers
+from lakeloom.llm.common import bounded_broadcast, cut, prepare_workers, task
 
 #: Rules: verdict, host and path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -89,6 +89,7 @@ def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
+@task
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         host, path = (batch.column(n).to_pylist() for n in ("host", "path"))
@@ -96,6 +97,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("tokens", pa.array(tokens, pa.list_(pa.string())))
 
 
+@task
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, w): the parts of each token that may be a word."""
     for batch in batches:
@@ -105,6 +107,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([t] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["token", "w"])
 
 
+@task
 def _split(total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         token, known = (batch.column(i).to_pylist() for i in (0, 1))
