@@ -5,8 +5,9 @@ has a failure link to the node from which matching goes on, and the number of pi
 Counting follows one link a character, amortised, and never builds a piece.
 
 The vocabulary is read from a tokenizer file; every entry, without its end-of-word mark, may be a first and a later piece.
+Such a vocabulary marks no later pieces, so this stands in for one that does.
 Words are what white space separates in the lower-cased text, with each punctuation mark a word of its own. A word that the
-pieces don't cover, or of more than ``MOST_CHARS`` characters, counts as one unknown token.
+pieces don't cover counts as one unknown token, whatever its length.
 
 Defined results: null and empty texts have no words; repeated rows are counted each; other columns are not looked at.
 """
@@ -21,12 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import by_bytes, prepare_workers, texts_of
+from lakeloom.llm.common import by_bytes, held, prepare_workers, task, texts_of
 from lakeloom.llm.encode import _LETTERS
 
-MOST_CHARS = 100
 #: Distinct words remembered by a worker, and the longest of them.
-MOST_WORDS, LONGEST = 600_000, 64
+MOST_WORDS, LONGEST = 400_000, 64
 _FIELD = 1 << 40
 
 
@@ -130,20 +130,16 @@ class _Counts(dict):
     def __missing__(self, chunk: str) -> int:
         total = 0
         for w in split_words(chunk):
-            n = self.automaton.count(w) if len(w) <= MOST_CHARS else None
+            n = self.automaton.count(w)
             total += 1 + (_FIELD * n if n is not None else _FIELD + _FIELD * _FIELD)
         if len(chunk) <= LONGEST:
             self[chunk] = total
         return total
 
 
-_counts: dict[str, _Counts] = {}
-
-
+@task
 def _counted(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if path not in _counts:
-        _counts[path] = _Counts(Automaton(pieces(path)))
-    known = _counts[path]
+    known = held(("pieces", path), lambda: _Counts(Automaton(pieces(path))))
     for batch in by_bytes(batches, "text"):
         if len(known) > MOST_WORDS:
             known.clear()
