@@ -3,8 +3,10 @@
 A document longer than a sequence is cut into pieces, the first of which takes the remainder, so that all others fill a
 sequence each. The remainders are dealt to partitions of about ``PART_ITEMS``; each packs its own by best-fit decreasing and
 computes a lower bound of its number of bins from dual feasible functions. A partition whose bins equal the bound is
-certified and done. Partitions with a gap give the documents of their worst-filled bins away: those are dealt anew into
-fewer partitions and packed again, and the new packing is taken if it has fewer bins. This goes on while a round saves bins.
+certified and done. Partitions with a gap give the documents of their worst-filled bins away, and of as many other bins drawn by a
+hash: those are dealt anew into fewer partitions (a last open one repacks its own) and packed again by best-fit decreasing, and the
+new packing is taken if it has fewer bins. This goes on while a round saves bins. The result says how many bins there are and
+how many any packing needs at least.
 
 Lengths are small integers, so best-fit decreasing runs over counts of lengths and of rooms left; its time doesn't depend
 on the number of documents, and a partition has a bounded number of rows.
@@ -23,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import by_bytes, cut, prepare_workers, texts_of
+from lakeloom.llm.common import by_bytes, cut, prepare_workers, task, texts_of
 from lakeloom.llm.encode import encoder
+from lakeloom.llm.tokens import mix
 
 SEQUENCE, END_ID = 1024, 2
 PART_ITEMS = 50_000
@@ -32,6 +35,7 @@ PART_ITEMS = 50_000
 GIVE_BINS = 64
 
 
+@task
 def _pieces(path: str, kind: str, end_id: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     end, enc = np.array([end_id], "<u4").tobytes(), encoder(path, kind)
     for batch in by_bytes(batches, "text"):
@@ -105,6 +109,8 @@ def _packed(key: tuple, table: pa.Table, most: int, round_no: int) -> pa.Table:
     give = np.zeros(n, bool)
     if gap:
         give[np.argsort(fill, kind="stable")[: min(n, GIVE_BINS * gap)]] = True
+        drawn = mix(np.arange(n, dtype=np.uint64) + np.uint64((round_no + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        give[np.argsort(drawn, kind="stable")[: min(n, GIVE_BINS * gap)]] = True
     part = key[0].as_py()
     return pa.table({"item": table.column("item"), "length": table.column("length"), "part": pa.array(np.full(len(lengths), part)), "round": pa.array(np.full(len(lengths), round_no, np.int32)), "bin": bins, "offset": offsets, "given": give[bins], "bins": pa.array(np.full(len(lengths), n)), "bound": pa.array(np.full(len(lengths), bound))})
 
@@ -129,7 +135,7 @@ def pack(items: DataFrame, most: int = SEQUENCE, part_items: int = PART_ITEMS) -
     while True:
         count = lambda df: df.select("part", "bin").distinct().count()
         open_parts = now.filter("given").select("part").distinct().count()
-        if open_parts < 2:
+        if not open_parts:
             done.append(now)
             total += count(now)
             break
@@ -156,14 +162,17 @@ def pack(items: DataFrame, most: int = SEQUENCE, part_items: int = PART_ITEMS) -
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "byte", id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, most: int = SEQUENCE, part_items: int = PART_ITEMS) -> DataFrame:
-    """A row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
+    """A row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, and the number of all sequences, ``bins``, with
+    a lower ``bound`` of it."""
     prepare_workers(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = texts.mapInArrow(lambda it: _pieces(tokenizer, kind, end_id, most, it), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = cut(made.withColumn("item", F.monotonically_increasing_id()), "pieces")
     whole = pieces.filter(F.col("length") == most)
-    packed, _ = pack(pieces.filter(F.col("length") < most).select("item", "length"), most, part_items)
+    packed, sums = pack(pieces.filter(F.col("length") < most).select("item", "length"), most, part_items)
     # sequences of whole pieces are numbered from 2**62 by item; others by round, partition and bin
     placed = pieces.filter(F.col("length") < most).join(packed, "item").withColumn("sequence_id", F.col("round").cast("long") * F.lit(2**56) + F.col("part") * F.lit(2**20) + F.col("bin"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return placed.select(*columns).unionByName(whole.select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(2**62) + F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    out = placed.select(*columns).unionByName(whole.select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(2**62) + F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    full = whole.count()
+    return out.withColumns({"bins": F.lit(sums["bins"] + full).cast("long"), "bound": F.lit(sums["bound"] + full).cast("long")})
