@@ -5,15 +5,20 @@ other positions were replaced. Every window of every document is looked up in th
 an overlap of document and item around it: first on the hit's own diagonal, then by an alignment that also allows
 insertions and deletions.
 
-The test set is taken in blocks of bounded size (``BLOCK_CHARS``): each block is broadcast and all documents are read
-against it, so a test set of any size works and no document text is shuffled.
+The test set is taken in blocks of at most ``BLOCK_CHARS`` characters (or one longer item), one after another: a block is sent to the
+workers, all documents are read against it, what it finds is stored by row, and the block is freed. So a test set of any size works
+with bounded memory, no document text is shuffled, and the result doesn't depend on how the test set is cut.
+
+Places of one seed in a run of windows with that same seed count by the run's ends, as places between give no longer overlap.
 
 Defined results: null or empty texts have no windows and are clean; an item of fewer than ``LEAST_WORDS`` words is never
-matched; repeated documents and items each count; other columns are not looked at; an empty test set leaves all clean.
+matched; repeated documents are judged each, whatever their ids, and a repeated item counts once; other columns are not looked at;
+an empty test set leaves all clean.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import ROW, by_bytes, cut, numbered, prepare_workers, texts_of, without
+from lakeloom.llm.common import ROW, by_bytes, cut, numbered, prepare_workers, task, texts_of, without
 from lakeloom.llm.tokens import mix, words
 
 #: Word positions that count, of a window; all of weight five.
@@ -32,6 +37,8 @@ LEAST_WORDS = 5
 OVERLAP_WORDS, IDENTITY = 13, 0.8
 #: Characters of the test set in one broadcast block.
 BLOCK_CHARS = 4_000_000
+#: Pairs of places held at once.
+PAIRS = 1_000_000
 #: Words that an aligned item may be shifted by insertions and deletions.
 SLACK = 8
 SCHEMA = "doc_id long, contaminated boolean, item_ids array<long>, matched_words long, identity double"
@@ -47,6 +54,26 @@ def _seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return out
 
 
+def _run_ends(seeds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which windows are the first or last of a run of equal seeds of one text."""
+    out = np.ones(len(seeds), bool)
+    if len(seeds) > 2:
+        same = seeds[1:] == seeds[:-1]
+        cuts = first[(first > 0) & (first < len(seeds))]
+        same[cuts - 1] = False
+        out[1:-1] = ~(same[1:] & same[:-1])
+    return out
+
+
+def _slices(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of places whose counts (cumulated in ``ends``) make up at most ``most``, or single ones."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
 class TestSet:
     """The hashed windows and the words of one block of test items."""
 
@@ -61,6 +88,7 @@ class TestSet:
             seeds = _seeds(self.words, mask)
             at = np.arange(len(seeds))
             whole = owner[at] == owner[at + mask[-1]] if len(seeds) else np.zeros(0, bool)
+            whole &= _run_ends(seeds, self.first)[: len(whole)] if len(seeds) else True
             seeds, at = mix(seeds[whole]), at[whole]
             order = np.argsort(seeds, kind="stable")
             bits = max(10, math.ceil(math.log2(8 * len(seeds) + 1)))
@@ -71,7 +99,7 @@ class TestSet:
 
     def hits(self, doc_words: np.ndarray, doc_first: np.ndarray) -> dict[int, set[tuple[int, int]]]:
         """Of each document with hits, the pairs (item, document position of the item's first word)."""
-        found: dict[int, set[tuple[int, int]]] = {}
+        kept = [np.zeros((0, 3), np.int64)]
         for mask, (seeds, at, filled, shift) in zip(MASKS, self.tables, strict=True):
             if not len(seeds):
                 continue
@@ -80,13 +108,19 @@ class TestSet:
             if not len(maybe):
                 continue
             low, high = np.searchsorted(seeds, own[maybe]), np.searchsorted(seeds, own[maybe], side="right")
-            maybe, low, high = (x[high > low] for x in (maybe, low, high))
             docs = np.searchsorted(doc_first, maybe, side="right") - 1
-            inside = maybe + mask[-1] < doc_first[docs + 1]
-            for p, d, lo, hi in zip(maybe[inside].tolist(), docs[inside].tolist(), low[inside].tolist(), high[inside].tolist(), strict=True):
-                for q in at[lo:hi].tolist():
-                    item = int(self.owner[q])
-                    found.setdefault(d, set()).add((item, p - int(doc_first[d]) - (q - int(self.first[item]))))
+            use = (high > low) & (maybe + mask[-1] < doc_first[docs + 1]) & _run_ends(own, doc_first)[maybe]
+            maybe, low, high, docs = (x[use] for x in (maybe, low, high, docs))
+            ends = np.cumsum(high - low)
+            for a, b in _slices(ends, PAIRS):
+                n = high[a:b] - low[a:b]
+                own_ends = np.cumsum(n)
+                q = at[np.arange(own_ends[-1]) - np.repeat(own_ends - n - low[a:b], n)]
+                item, d = self.owner[q], np.repeat(docs[a:b], n)
+                kept.append(np.unique(np.stack([d, item, np.repeat(maybe[a:b], n) - doc_first[d] - (q - self.first[item])], axis=1), axis=0))
+        found: dict[int, set[tuple[int, int]]] = {}
+        for d, item, place in np.unique(np.concatenate(kept), axis=0).tolist():
+            found.setdefault(d, set()).add((item, place))
         return found
 
     def overlap(self, doc: np.ndarray, item: int, shift: int) -> tuple[int, float]:
@@ -109,6 +143,8 @@ class TestSet:
                 best = (0, 0.0)
         if best[0] < math.ceil(IDENTITY * n) and n >= LEAST_WORDS:
             window = doc[max(0, shift - SLACK) : max(0, shift + n + SLACK)]
+            if np.isin(test, window).sum() < math.ceil(IDENTITY * n):
+                return best
             row = np.zeros(len(window) + 1, np.int64)
             for w in test:
                 step = row.copy()
@@ -120,6 +156,7 @@ class TestSet:
         return best
 
 
+@task
 def _judge(tests: TestSet, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.int64())), ("matched_words", pa.int64()), ("identity", pa.float64())])
     for batch in by_bytes(batches, "text"):
@@ -143,19 +180,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``identity`` of its longest overlap."""
     spark = docs.sparkSession
     prepare_workers(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
-    chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, math.ceil(chars / block_chars))
-    out = None
-    for block in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        tests = spark.sparkContext.broadcast(TestSet([(r["i"], r["t"]) for r in own.toLocalIterator()]))
-        part = texts.mapInArrow(lambda it, tests=tests: _judge(tests.value, it), SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    if blocks > 1:  # repeated rows of a document agree in every block, and so they meet in one row
-        out = cut(out, "decontaminate").groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max(F.struct("matched_words", "identity")).alias("m")).select("doc_id", "contaminated", "item_ids", "m.*")
-    return out
+    texts = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).distinct()
+    blocks = _blocks(((r["i"], r["t"]) for r in items.toLocalIterator()), block_chars)
+    first, second = next(blocks), next(blocks, None)
+    judged = lambda rows, tests: rows.select(ROW, "text").mapInArrow(lambda it: _judge(tests.value, it), SCHEMA)
+    if second is None:  # nothing to bring together
+        return texts.select(F.col("doc_id").alias(ROW), "text").mapInArrow(lambda it, tests=spark.sparkContext.broadcast(TestSet(first)): _judge(tests.value, it), SCHEMA)
+    texts = cut(texts, "texts")  # a row has one number in all passes
+    found = None
+    for block in itertools.chain((first, second), blocks):
+        tests = spark.sparkContext.broadcast(TestSet(block))
+        part = cut(judged(texts, tests).filter("contaminated").withColumnRenamed("doc_id", ROW), "found")
+        tests.destroy()
+        found = part if found is None else found.unionByName(part)
+    merged = found.groupBy(ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max(F.struct("matched_words", "identity")).alias("m"))
+    none = F.array().cast("array<long>")
+    out = texts.select(ROW, "doc_id").join(merged, ROW, "left")
+    return out.select("doc_id", F.col("m").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("m.matched_words", F.lit(0)).cast("long").alias("matched_words"), F.coalesce("m.identity", F.lit(0.0)).alias("identity"))
+
+
+def _blocks(items: Iterator[tuple], chars: int) -> Iterator[list[tuple]]:
+    """Items in blocks of at most ``chars`` characters; one empty block if there is no item."""
+    held, n, some = [], 0, False
+    for item in items:
+        if held and n + len(item[1] or "") > chars:
+            yield held
+            held, n, some = [], 0, True
+        held.append(item)
+        n += len(item[1] or "")
+    if held or not some:
+        yield held
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
