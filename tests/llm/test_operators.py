@@ -45,6 +45,48 @@ def test_decontaminate(spark, docs):
     assert decontaminate.decontaminate(odd(spark, []), bench).count() == 0
     assert decontaminate.decontaminate(rows, bench.filter("false")).filter("contaminated").count() == 0
     assert decontaminate.drop_contaminated(rows, bench).columns == rows.columns
+    # rows with repeated and null ids are judged each, however the test set is cut
+    text = bench.first()["text"]
+    same = odd(spark, [(1, text), (1, "clean words of no test at all"), (1, text), (None, text), (None, "other clean words")])
+    tuples = lambda d: sorted(map(str, d.collect()))
+    whole = tuples(decontaminate.decontaminate(same, bench))
+    assert len(whole) == 5 and whole == tuples(decontaminate.decontaminate(same, bench.unionByName(bench), block_chars=300))
+    assert tuples(decontaminate.decontaminate(docs, bench)) == tuples(decontaminate.decontaminate(docs, bench, block_chars=1000))
+
+
+def test_decontaminate_substitutions():
+    """Documents with items of which words were replaced, left out or added, against all alignments of all items."""
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choice(vocab, rng.integers(13, 60)))) for i in range(40)]
+    tests = decontaminate.TestSet(items)
+    docs = []
+    for k in range(200):
+        ws = items[k % 40][1].split()
+        for _ in range(int(len(ws) * rng.uniform(0, 0.25))):
+            at = int(rng.integers(len(ws)))
+            kind = int(rng.integers(6))
+            ws[at : at + 1] = [] if kind == 0 else [ws[at], rng.choice(vocab)] if kind == 1 else [rng.choice(vocab)]
+        docs.append(" ".join([*rng.choice(vocab, 100), *ws, *rng.choice(vocab, 100)]))
+    docs += [" ".join(rng.choice(vocab, 250)) for _ in range(15)]
+    own, first = words(docs)
+    hits = tests.hits(own, first)
+    want = got = 0
+    for d in range(len(docs)):
+        doc = own[first[d] : first[d + 1]]
+        brute = any(tests.overlap(doc, i, s)[0] for i in ([d % 40] if d < 200 else range(40)) for s in range(1 - len(items[i][1].split()), len(doc)))
+        found = any(tests.overlap(doc, i, s)[0] for i, s in hits.get(d, ()))
+        assert brute or not found
+        want, got = want + brute, got + found
+    assert want > 100 and got >= 0.95 * want
+
+
+def test_decontaminate_repeats():
+    tests = decontaminate.TestSet([(1, "same " * 200), (2, "a b " * 100)])
+    own, first = words(["same " * 3000, "b a " * 3000, "x " * 3000])
+    hits = tests.hits(own, first)
+    assert len(hits[0]) <= 16 * 4 and any(tests.overlap(own[:3000], i, s) == (200, 1.0) for i, s in hits[0])
+    assert any(tests.overlap(own[first[1] : first[2]], i, s)[0] == 200 for i, s in list(hits[1])[:20]) and 2 not in hits
 
 
 def test_longest_overlap():
@@ -153,6 +195,51 @@ def test_language(spark):
     assert language.identify(odd(spark), language.learn(odd(spark, []))).filter("lang_pred <> 'und'").count() == 0
 
 
+def _invented(rng, n):
+    """n languages: texts of words from their own letter pairs."""
+    pairs = [[f"{a}{b}" for a, b in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (12, 2))] for _ in range(n)]
+    return [lambda k, p=p: " ".join("".join(rng.choice(p, 3)) for _ in range(k)) for p in pairs]
+
+
+def test_language_sets_and_long_texts(spark, monkeypatch):
+    speak = _invented(np.random.default_rng(4), 230)  # more languages than a text can be fitted with at once
+    rows = [(i, speak[i % 230](150), f"l{i % 230:03d}", "s", 1, "x", 2) for i in range(230 * 4)]
+    model = language.learn(spark.createDataFrame(rows, DOCS))
+    assert len(model.langs) == 230
+    six = " ".join(speak[i](200) for i in range(6))
+    shares, _ = model.mixtures([six, speak[229](100), "12 34", ""])
+    assert {model.langs[j] for j in np.flatnonzero(shares[0])} == {f"l{i:03d}" for i in range(6)} and abs(shares[0].sum() - 1) < 1e-6
+    assert model.langs[shares[1].argmax()] == "l229" and not shares[2:].any()
+    # texts in parts, and parts that aren't kept, give the same
+    small = language.Model(model.langs[:6], np.exp(model.log[:, :6]) * 1e6)
+    texts = [six, speak[1](50), "", speak[2](3000)]
+    want = small.mixtures(texts)
+    monkeypatch.setattr(language, "PART_CHARS", 900)
+    monkeypatch.setattr(language, "CELLS", 600)
+    got = small.mixtures(texts)
+    assert np.allclose(got[0], want[0], atol=0.02) and np.allclose(got[1], want[1], atol=1e-4)
+    assert "".join(language._in_parts(six + "x" * 5000)) == six + "x" * 5000
+    monkeypatch.setattr(language, "MODEL_BYTES", 4 * language.BINS * 229)
+    with pytest.raises(ValueError, match="more than 229 languages"):
+        language.learn(spark.createDataFrame(rows, DOCS))
+
+
+def test_mixture_against_brute_force():
+    rng = np.random.default_rng(6)
+    speak = _invented(rng, 3)
+    counts = np.zeros((language.BINS, 3))
+    for i in range(3):
+        counts[:, i] = np.bincount(language._trigrams([speak[i](3000)])[0], minlength=language.BINS)
+    model = language.Model(["a", "b", "c"], counts)
+    grid = [(a / 20, b / 20, 1 - (a + b) / 20) for a in range(21) for b in range(21 - a)]
+    for _ in range(5):
+        text = f"{speak[0](60)} {speak[1](int(rng.integers(20, 60)))}"
+        word, _ = model._words([text])
+        likely = np.exp(word - word.max(axis=1, keepdims=True))
+        best = max(grid, key=lambda g: np.log(likely @ np.array(g) + 1e-30).sum())
+        assert np.abs(model.mixtures([text])[0][0] - np.array(best)).max() < 0.06
+
+
 def test_exact_dedup(spark, docs):
     for options in ({}, {"digest_digits": 1}, {"files_per_batch": 1}):
         got = {r["doc_id"]: r for r in exact_dedup.exact_groups(docs.repartition(3), **options).collect()}
@@ -170,10 +257,16 @@ def test_exact_dedup(spark, docs):
 
 
 def test_encoder():
+    from tokenizers import Tokenizer
+
     for kind, name in (("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")):
+        e, plain = Encoder(public_tokenizers.path(name), kind), Tokenizer.from_file(public_tokenizers.path(name))
+        texts = [t or "" for _, t in ODD] + ["a  b\n\n c\td ", "x\n", "\n", "it's 'll\r\n ok", "a　b", "a <|endoftext|> b", "x<|ENDOFTEXT|>", "<|startoftext|>a", "a < b <| c", "Été. Über,, été|", "a\x1cb"]
+        want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert e.batch(texts) == want
         e = Encoder(public_tokenizers.path(name), kind)
-        texts = [t or "" for _, t in ODD[:7]] + ["a  b\n\n c\td ", "x\n", "\n", "it's 'll\r\n ok", "a　b", "<|endoftext|> x", "Été. Über,, été|", "a\x1cb"]
-        assert e.batch(texts) == [e.whole(t) for t in texts]
+        e.known.most = e.plain.most = e.marks.most = 1000  # tables that are full after a few pieces
+        assert e.batch(texts * 2) == want * 2 and e.known.held <= 1000
 
 
 def test_shards(spark, docs, tmp_path):
@@ -190,13 +283,33 @@ def test_shards(spark, docs, tmp_path):
         at += r["n_tokens"]
     keys = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert keys == sorted(keys, key=lambda k: -(2**63) if k is None else k)
-    assert shards.lookup(spark, out, 20).tobytes() == e.whole(docs.filter("doc_id = 20").first()["text"]) + np.array([1], "<u4").tobytes()
-    assert shards.lookup(spark, out, 10**9) is None
+    ids = lambda t: e.whole(t) + np.array([1], "<u4").tobytes()
+    some = [r for r in rows if r["doc_id"] is not None and r["doc_id"] > 9][:20]
+    assert all(shards.lookup(spark, out, r["doc_id"]).tobytes() == ids(r["text"]) for r in some)
+    five = sorted(ids(r["text"] or "") for r in rows if r["doc_id"] == 5)
+    assert sorted(shards.lookup(spark, out, 5, i).tobytes() for i in range(len(five))) == five and shards.lookup(spark, out, 5, len(five)) is None
+    assert shards.lookup(spark, out, None).tobytes() == ids("one two") and shards.lookup(spark, out, 10**9) is None
+    raw = b"".join(next(p.glob("*.txt")).read_bytes()[: 2 * m["n_ids"]] for m in sorted(spark.read.parquet(f"{out}/manifest").collect(), key=lambda m: (m["part"], m["block"])) for p in [tmp_path / f"s/kind=shard/part={m['part']}/block={m['block']}"])
+    raw = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+    assert all(zlib.crc32(raw[4 * r["start"] : 4 * (r["start"] + r["n_tokens"])]) == r["ids_crc32"] for r in got)
+    empty = shards.write_shards(odd(spark, []), path, out=f"file://{tmp_path}/none")
+    assert shards.read_shards(spark, empty).count() == 0 and shards.lookup(spark, empty, 1) is None
+
+
+def test_shards_of_one_key(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("same words "), (F.col("id") % 1000).cast("string")).alias("text"))
+    out = shards.write_shards(docs, path, out=f"file://{tmp_path}/s", shard_ids=2000, ranges=4)
+    sizes = spark.read.parquet(f"{out}/manifest").groupBy("part").agg(F.sum("n_docs").alias("n")).collect()
+    assert len(sizes) == 4 and max(r["n"] for r in sizes) < 1500
+    assert shards.read_shards(spark, out).agg(F.count("*"), F.sum("n_tokens")).first()[0] == 3000
+    assert shards.lookup(spark, out, 7, 2999) is not None and shards.lookup(spark, out, 7, 3000) is None
 
 
 def test_packing(spark, docs):
     r = packing.pack_documents(docs.unionByName(odd(spark).select(*docs.columns)), public_tokenizers.path("byte_bpe_50k.json"), part_items=40).toPandas()
     assert r.groupby("sequence_id").length.sum().max() <= 1024
+    assert set(r.bins) == {r.sequence_id.nunique()} and r.bound[0] <= r.bins[0]
     x = r.sort_values(["sequence_id", "offset"])
     assert (x.groupby("sequence_id").length.cumsum() - x.length == x.offset).all()
     rng = np.random.default_rng(2)
@@ -205,6 +318,24 @@ def test_packing(spark, docs):
     one, m = packing.pack(items, 1024)
     assert n["bound"] <= m["bins"] <= n["bins"] <= 1.08 * n["bound"] and packed.count() == 600 and packed.select("item").distinct().count() == 600
     assert packed.select("round", "part", "bin").distinct().count() == n["bins"]
+    for _ in range(200):  # bounds against the least number of bins, found by trying all
+        few = rng.integers(1, 60, 7).tolist()
+        best = [99]
+
+        def fill(i, rooms, best=best, few=few):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(few):
+                best[0] = len(rooms)
+                return
+            for j in range(len(rooms)):
+                if rooms[j] >= few[i]:
+                    fill(i + 1, [*rooms[:j], rooms[j] - few[i], *rooms[j + 1 :]])
+            fill(i + 1, [*rooms, 60 - few[i]])
+
+        fill(0, [])
+        bound, used = packing.lower_bound(np.bincount(few, minlength=61), 60), int(packing.best_fit(np.array(few), 60)[0].max()) + 1
+        assert bound <= best[0] <= used <= best[0] + 1
     assert packing.lower_bound(np.bincount([600] * 5 + [500] * 2, minlength=1025), 1024) == 6
 
 
@@ -256,10 +387,13 @@ def test_wordpiece(spark, docs):
     for w in sorted(wordpiece.pieces(path)):
         vocab.setdefault(w, len(vocab))
         vocab.setdefault(f"##{w}", len(vocab))
-    t = Tokenizer(models.WordPiece(vocab=vocab, unk_token="[UNK]", max_input_chars_per_word=100))
+    t = Tokenizer(models.WordPiece(vocab=vocab, unk_token="[UNK]", max_input_chars_per_word=10**9))
     t.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
     got = {r["doc_id"]: r["n_tokens"] for r in wordpiece.token_counts(docs, path).collect()}
     assert all(got[r["doc_id"]] == len(t.encode(r["text"].lower(), add_special_tokens=False).ids) for r in docs.collect())
+    long = ["ab" * 50, "ab" * 51, "internationalisation" * 1000]
+    got = {r["doc_id"]: r["n_tokens"] for r in wordpiece.token_counts(odd(spark, list(enumerate(long))), path).collect()}
+    assert [got[i] for i in range(3)] == [len(t.encode(w, add_special_tokens=False).ids) for w in long]
     few = wordpiece.Automaton({"a", "abcd", "b"}, {"b", "bc", "z"})
     assert [few.count(w) for w in ("abcd", "abcz", "abb", "abcx", "ac", "b")] == [1, 3, 3, None, None, 1]
     assert wordpiece.token_counts(odd(spark), path).filter("doc_id = 1").first()["n_tokens"] == 0
