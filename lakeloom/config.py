@@ -1,8 +1,16 @@
 """Configuration: one YAML document per table, dimension or reconciliation, validated so that every error names its file.
 
-Shape of a table: ``name``, ``kind`` (table, derived_dimension, generated_dimension), ``layer1`` (format, glob), ``layer2`` (target,
-natural_key, expected_columns, column_aliases, update_columns, late_arrival, dq_checks, conflict_strategy), ``layer3`` (a list
-of strategies). Reconciliations have ``name``, ``key``, ``left_sql`` and ``right_sql``.
+A table has ``name``, ``kind: table`` and
+
+* ``source``: format, glob (under the data folder), natural_key, expected_columns, aliases, and for late arrivals ``late_arrival``
+  (event_date_col, threshold_days, delivery_date with ``from: filename`` and a pattern);
+* ``layer1``: target, the raw table;
+* ``layer2``: target, conflict_strategy, update_columns, dq_checks, ge_suite (the name of a suite of expectations);
+* ``layer3``: a list of strategies, each with target, columns and what it needs itself;
+* ``orchestration``: schedule, start_date, catchup, tags, and what to wait for.
+
+A derived dimension has source_table or raw_source_glob, source_column, target, target_key_column and derived_columns; a
+generated one target, from and to. Reconciliations have name, key, left and right.
 """
 
 from __future__ import annotations
@@ -19,9 +27,9 @@ import yaml
 KINDS = ("table", "derived_dimension", "generated_dimension")
 STRATEGIES = ("dimension_upsert", "fact_upsert", "scd2_apply", "scd2_baseline_seed")
 SEVERITIES = ("INFO", "WARNING", "CRITICAL")
-FK_WORDS = ("inferred_member_on_miss", "snapshotted_fk")
+FK_WORDS = {"dim_client": "inferred_member_on_miss", "risk_snapshot": "snapshotted_fk"}
 FK_KEYS = ("from_column", "dim_target", "dim_natural_key", "dim_surrogate_key")
-CDC_COLUMNS = ("client_id", "lsn", "commit_ts", "op", "before", "after")
+CDC_COLUMNS = ("client_id", "lsn", "commit_ts", "op", "after")
 CDC_TARGET = "warehouse.dim_client_risk_snapshot"
 
 
@@ -41,14 +49,20 @@ class Check:
 class Strategy:
     strategy: str
     target: str
+    columns: tuple[str, ...] = ()
     options: dict[str, Any] = field(default_factory=dict)
 
+    def lookups(self) -> dict[str, dict]:
+        """Columns resolved in another dimension."""
+        return {c: r for c, r in self.options.get("fk_resolution", {}).items() if isinstance(r, dict)}
+
 
 @dataclass(frozen=True)
 class TableConfig:
     name: str
     file_format: str
     glob: str
+    raw: str
     target: str
     natural_key: tuple[str, ...]
     expected_columns: tuple[str, ...]
@@ -57,7 +71,9 @@ class TableConfig:
     conflict_strategy: str | None
     late_arrival: dict[str, Any] | None
     checks: tuple[Check, ...]
+    suite: str | None
     strategies: tuple[Strategy, ...]
+    orchestration: dict[str, Any] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -128,19 +144,36 @@ def _checks(path, layer2: dict) -> tuple[Check, ...]:
     return tuple(out)
 
 
-def _strategy(path, doc: dict, expected: tuple[str, ...]) -> Strategy:
+def _fk_rules(path, kind: str, rules: Any, waits: dict) -> None:
+    if not isinstance(rules, dict):
+        raise ConfigError(path, "fk_resolution must be a mapping")
+    for column, rule in rules.items():
+        if isinstance(rule, str):
+            if kind != "fact_upsert" or rule not in FK_WORDS.values():
+                raise ConfigError(path, f"fk_resolution of {column!r}: unknown rule {rule!r}")
+            continue
+        lost = [k for k in FK_KEYS if k not in rule] if isinstance(rule, dict) else list(FK_KEYS)
+        if lost:
+            raise ConfigError(path, f"fk_resolution of {column!r} lacks {', '.join(lost)}")
+        if kind == "fact_upsert" and rule["dim_target"] == "warehouse.dim_instrument" and waits.get("requires_dim_instrument") is not True:
+            raise ConfigError(path, f"fk_resolution of {column!r} needs orchestration.requires_dim_instrument: true")
+
+
+def _strategy(path, doc: Any, expected: tuple[str, ...], waits: dict) -> Strategy:
+    if not isinstance(doc, dict):
+        raise ConfigError(path, "a layer3 entry must be a mapping")
     kind = _need(path, doc, "strategy", str)
     if kind not in STRATEGIES:
         raise ConfigError(path, f"unknown strategy {kind!r}; known: {', '.join(STRATEGIES)}")
-    target = _need(path, doc, "target", str)
-    rest = {k: v for k, v in doc.items() if k not in ("strategy", "target")}
+    target, columns = _need(path, doc, "target", str), _strings(path, doc, "columns", False)
+    rest = {k: v for k, v in doc.items() if k not in ("strategy", "target", "columns")}
     if kind == "scd2_apply":
-        if lost := [c for c in CDC_COLUMNS if c not in expected]:
+        if lost := [c for c in CDC_COLUMNS if c not in expected and c not in columns]:
             raise ConfigError(path, f"scd2_apply needs the columns {', '.join(lost)}")
         if target != CDC_TARGET:
             raise ConfigError(path, f"scd2_apply writes to {CDC_TARGET} only")
-        if rest.get("requires_scd2_baseline") is not True:
-            raise ConfigError(path, "scd2_apply needs requires_scd2_baseline: true")
+        if waits.get("requires_scd2_baseline") is not True:
+            raise ConfigError(path, "scd2_apply needs orchestration.requires_scd2_baseline: true")
     if kind == "scd2_baseline_seed" and not isinstance(rest.get("cdc_source_glob"), str):
         raise ConfigError(path, "scd2_baseline_seed needs cdc_source_glob")
     if kind == "fact_upsert":
@@ -148,18 +181,51 @@ def _strategy(path, doc: dict, expected: tuple[str, ...]) -> Strategy:
             raise ConfigError(path, "fact_upsert needs event_date_column")
         if not isinstance(rest.get("literals", {}), dict):
             raise ConfigError(path, "fact_upsert's literals must be a mapping")
-    rules = rest.get("fk_resolution", {})
-    if not isinstance(rules, dict):
-        raise ConfigError(path, "fk_resolution must be a mapping")
-    for column, rule in rules.items():
-        if isinstance(rule, str):
-            if kind != "fact_upsert" or rule not in FK_WORDS:
-                raise ConfigError(path, f"fk_resolution of {column!r}: unknown rule {rule!r}")
-        elif not isinstance(rule, dict) or (lost := [k for k in FK_KEYS if k not in rule]):
-            raise ConfigError(path, f"fk_resolution of {column!r} lacks {', '.join(lost) if isinstance(rule, dict) else 'its keys'}")
-        elif rule["dim_target"] == "warehouse.dim_instrument" and rest.get("requires_dim_instrument") is not True:
-            raise ConfigError(path, f"fk_resolution of {column!r} needs requires_dim_instrument: true")
-    return Strategy(kind, target, rest)
+    _fk_rules(path, kind, rest.get("fk_resolution", {}), waits)
+    # a column named twice counts once
+    return Strategy(kind, target, tuple(dict.fromkeys(columns)), rest)
+
+
+def _late(path, late: Any) -> dict | None:
+    if late is None:
+        return None
+    delivery = late.get("delivery_date") if isinstance(late, dict) else None
+    if not isinstance(delivery, dict) or delivery.get("from") != "filename" or not isinstance(delivery.get("pattern"), str):
+        raise ConfigError(path, "late_arrival needs a delivery_date with from: filename and a pattern")
+    if not isinstance(late.get("threshold_days"), int) or not isinstance(late.get("event_date_col"), str):
+        raise ConfigError(path, "late_arrival needs event_date_col and threshold_days")
+    return late
+
+
+def _table(path, doc: dict, name: str) -> TableConfig:
+    source = _need(path, doc, "source", dict)
+    one, two, three = _need(path, doc, "layer1", dict), _need(path, doc, "layer2", dict), _need(path, doc, "layer3", list)
+    if any("dq_checks" in x for x in (doc, source, one)):
+        raise ConfigError(path, "'dq_checks' belongs in layer2")
+    expected = tuple(dict.fromkeys(_strings(path, source, "expected_columns", False)))
+    waits = doc.get("orchestration") or {}
+    if not isinstance(waits, dict):
+        raise ConfigError(path, "'orchestration' must be a mapping")
+    suite = two.get("ge_suite")
+    if suite is not None and not isinstance(suite, str):
+        raise ConfigError(path, "'ge_suite' must be a name")
+    return TableConfig(
+        name,
+        _need(path, source, "format", str),
+        _need(path, source, "glob", str),
+        _need(path, one, "target", str),
+        _need(path, two, "target", str),
+        tuple(dict.fromkeys(_strings(path, source, "natural_key"))),
+        expected,
+        source.get("aliases") or {},
+        tuple(dict.fromkeys(_strings(path, two, "update_columns", False))),
+        two.get("conflict_strategy"),
+        _late(path, source.get("late_arrival")),
+        _checks(path, two),
+        suite,
+        tuple(_strategy(path, s, expected, waits) for s in three),
+        waits,
+    )
 
 
 def load_one(path: Path | str) -> TableConfig | DerivedDimension | GeneratedDimension:
@@ -169,6 +235,9 @@ def load_one(path: Path | str) -> TableConfig | DerivedDimension | GeneratedDime
     if kind not in KINDS:
         raise ConfigError(path, f"unknown kind {kind!r}; known: {', '.join(KINDS)}")
     name = _need(path, doc, "name", str)
+    if kind == "table":
+        return _table(path, doc, name)
+    target = _need(path, doc, "target", str)
     if kind == "generated_dimension":
         try:
             first, last = (datetime.date.fromisoformat(str(_need(path, doc, k))) for k in ("from", "to"))
@@ -176,27 +245,20 @@ def load_one(path: Path | str) -> TableConfig | DerivedDimension | GeneratedDime
             raise ConfigError(path, f"dates must be ISO dates: {e}") from e
         if first > last:
             raise ConfigError(path, "'from' is after 'to'")
-        return GeneratedDimension(name, _need(path, doc, "target", str), first, last)
-    if kind == "derived_dimension":
-        sources = [k for k in ("source_table", "raw_source_glob") if doc.get(k)]
-        if len(sources) != 1:
-            raise ConfigError(path, "needs exactly one of source_table and raw_source_glob")
-        return DerivedDimension(name, _need(path, doc, "target", str), _need(path, doc, "source_column", str), _need(path, doc, "natural_key", str), doc.get("source_table"), doc.get("raw_source_glob"), doc.get("attributes") or {})
-    one, two = _need(path, doc, "layer1", dict), _need(path, doc, "layer2", dict)
-    if "dq_checks" in doc or "dq_checks" in one:
-        raise ConfigError(path, "'dq_checks' belongs in layer2")
-    expected = _strings(path, two, "expected_columns")
-    late = two.get("late_arrival")
-    if late is not None:
-        if not isinstance(late, dict) or not isinstance(late.get("threshold_days"), int) or not isinstance(late.get("event_date_column"), str) or not isinstance((late.get("delivery_date") or {}).get("pattern"), str):
-            raise ConfigError(path, "late_arrival needs event_date_column, threshold_days and delivery_date.pattern")
-    three = _need(path, doc, "layer3", list)
-    return TableConfig(name, _need(path, one, "format", str), _need(path, one, "glob", str), _need(path, two, "target", str), _strings(path, two, "natural_key"), expected, two.get("column_aliases") or {}, _strings(path, two, "update_columns", False), two.get("conflict_strategy"), late, _checks(path, two), tuple(_strategy(path, s, expected) for s in three))
+        return GeneratedDimension(name, target, first, last)
+    sources = [k for k in ("source_table", "raw_source_glob") if doc.get(k)]
+    if len(sources) != 1:
+        raise ConfigError(path, "needs exactly one of source_table and raw_source_glob")
+    column, key = _need(path, doc, "source_column", str), _need(path, doc, "target_key_column", str)
+    maps = doc.get("derived_columns") or {}
+    if not isinstance(maps, dict) or not all(isinstance(m, dict) for m in maps.values()):
+        raise ConfigError(path, "'derived_columns' must map columns to value maps")
+    return DerivedDimension(name, target, column, key, doc.get("source_table"), doc.get("raw_source_glob"), maps)
 
 
 def load_reconciliation(path: Path | str) -> Reconciliation:
     doc = _read(Path(path))
-    return Reconciliation(_need(path, doc, "name", str), _strings(path, doc, "key"), _need(path, doc, "left_sql", str), _need(path, doc, "right_sql", str))
+    return Reconciliation(_need(path, doc, "name", str), _strings(path, doc, "key"), _need(path, doc, "left", str), _need(path, doc, "right", str))
 
 
 def load_all(folder: Path | str) -> tuple[list, list[Reconciliation]]:
@@ -217,7 +279,8 @@ def load_all(folder: Path | str) -> tuple[list, list[Reconciliation]]:
 
 def event_date_columns(tables: list) -> dict[str, str]:
     """Fact table -> its event date column."""
-    return {s.target: s.options["event_date_column"] for t in tables if isinstance(t, TableConfig) for s in t.strategies if s.strategy == "fact_upsert"}
+    strategies = [s for t in tables if isinstance(t, TableConfig) for s in t.strategies]
+    return {s.target: s.options["event_date_column"] for s in strategies if s.strategy == "fact_upsert"}
 
 
 def main(args: list[str]) -> int:

@@ -70,11 +70,9 @@ def owned_upsert(existing: DataFrame, incoming: DataFrame, key: str, owned: Sequ
 def with_ordinals(rows: DataFrame, order: Sequence[str], name: str = "raw_seq") -> DataFrame:
     """Arrival ordinals 1, 2, ... over all rows, without bringing them into one task: ranges of the order, sizes of the ranges, and a
     number within each range."""
-    spark = rows.sparkSession
     dealt = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
     sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    del spark
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return dealt.withColumn("__own", own).join(before, "__part").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before", "__part")
 

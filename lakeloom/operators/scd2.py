@@ -93,11 +93,14 @@ def reload(events: DataFrame, versions: DataFrame, watermark: DataFrame, start,
     """Rebuild the history of clients with an event in ``[start, stop)``: versions from the first such lsn on go, and all events from it
     on are replayed in lsn order. Returns the result and (client_id, reset_lsn) of the clients concerned."""
     affected = events.filter((F.col("commit_ts") >= start) & (F.col("commit_ts") < stop)).groupBy("client_id").agg(F.min("lsn").alias("reset_lsn"))
-    v = versions.join(affected, "client_id", "left")
-    kept = v.filter(F.col("reset_lsn").isNull() | (F.col("source_lsn") < F.col("reset_lsn"))).drop("reset_lsn")
-    marks = watermark.join(affected, "client_id", "left").select("client_id", F.coalesce(F.col("reset_lsn") - 1, F.col("last_applied_lsn")).alias("last_applied_lsn"))
-    replay = events.join(affected, "client_id").filter("lsn >= reset_lsn").drop("reset_lsn").withColumn("seq", F.col("lsn"))
-    return apply(replay, kept, marks, attributes), affected
+    # history is worked out for the clients concerned alone; the others pass as they are
+    own, others = (lambda df: df.join(affected, "client_id")), (lambda df: df.join(affected, "client_id", "left_anti"))
+    kept = own(versions).filter("source_lsn < reset_lsn").drop("reset_lsn").select(*versions.columns)
+    marks = own(watermark).select("client_id", (F.col("reset_lsn") - 1).alias("last_applied_lsn"))
+    replay = own(events).filter("lsn >= reset_lsn").drop("reset_lsn").withColumn("seq", F.col("lsn"))
+    done = apply(replay, kept, marks, attributes)
+    rest = others(versions).select(*done.versions.columns)
+    return Applied(done.versions.unionByName(rest), done.quarantine, done.watermark.unionByName(others(watermark).select(*done.watermark.columns))), affected
 
 
 def state_lines(versions: DataFrame) -> DataFrame:

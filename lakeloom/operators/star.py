@@ -71,13 +71,14 @@ def stopgaps(missed: DataFrame, versions: DataFrame, client: str = "client_id",
     return checked.select("client_id", "valid_from", (F.col("valid_from") + F.expr("interval 1 microsecond")).alias("valid_to"), (F.least(F.coalesce("__low", F.lit(0)), F.lit(0)) - nth).cast("bigint").alias("source_lsn"), F.lit("unknown").alias("risk_category"), F.lit(0).cast("decimal(14,2)").alias("account_balance_usd"), F.lit("unknown").alias("account_status"), F.lit(False).alias("is_current"), F.lit(False).alias("is_deleted"))
 
 
-def fact_rows(staged: DataFrame, dim_client: DataFrame, versions: DataFrame, client: str, event_date: str, literals: Mapping[str, str] | None = None, lookups: Sequence[tuple[DataFrame, str, str, str, str]] = ()) -> DataFrame:
-    """Facts with all keys: the client's, the snapshot's at midnight UTC of the event date, the date's, plain dimensions', literals."""
+def fact_rows(staged: DataFrame, dim_client: DataFrame, versions: DataFrame, client: str, event_date: str, literals: Mapping[str, str] | None = None, lookups: Sequence[tuple[DataFrame, str, str, str, str, bool]] = ()) -> DataFrame:
+    """Facts with all keys: the client's, the snapshot's at midnight UTC of the event date, the date's, plain dimensions' (dimension, fact
+    column, natural key, key, name, nullable), literals. No client's facts are multiplied by its versions."""
     out = lookup_key(staged, dim_client, client, "client_id", "client_key", "client_key", nullable=False)
-    out = asof_range(out, versions, client, F.col(event_date).cast("timestamp"), ["risk_snapshot_key"])
+    out = asof_window(out, versions, client, F.col(event_date).cast("timestamp"), ["risk_snapshot_key"])
     out = out.withColumn("date_key", F.date_format(event_date, "yyyyMMdd").cast("int"))
-    for dim, column, natural_key, key, name in lookups:
-        out = lookup_key(out, dim, column, natural_key, key, name, nullable=False)
+    for dim, column, natural_key, key, name, nullable in lookups:
+        out = lookup_key(out, dim, column, natural_key, key, name, nullable)
     for name, value in (literals or {}).items():
         out = out.withColumn(name, F.lit(value))
     return out

@@ -6,7 +6,7 @@ its own. So each file keeps its header and each row its keys: ``source_file, pos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,16 +22,38 @@ def _require(spark: SparkSession, glob: str) -> None:
         raise FileNotFoundError(f"no files match {glob}")
 
 
+def _cells(record) -> F.Column:
+    """The fields of a CSV record: commas outside quotes separate them, and a doubled quote in quotes is one."""
+    fields = F.split(record, ',(?=(?:[^"]*"[^"]*")*[^"]*\\z)', -1)
+    return F.transform(fields, lambda x: F.regexp_replace(F.regexp_replace(x, '\\A"|"\\z', ""), '""', '"'))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """``source_file, place, value`` of whole records: a line that begins within quotes goes on with the record before it. One file's
+    lines are numbered in one task, sorted on disk where they are many."""
+    order = Window.partitionBy("source_file").orderBy("place")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    within = F.coalesce(F.sum(quotes).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
+    marked = lines.withColumn("within", within)
+    numbered = marked.withColumn("record", F.sum(F.when(F.col("within"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("place", "value")))
+    records = numbered.groupBy("source_file", "record").agg(parts.alias("parts"))
+    text = F.array_join(F.transform("parts", lambda x: x["value"]), "\n")
+    return records.select("source_file", F.col("parts")[0]["place"].alias("place"), F.regexp_replace(text, "\r\\z", "").alias("value"))
+
+
 def read_csv(spark: SparkSession, glob: str) -> DataFrame:
-    """Every file's rows by its own header. Quoted fields are parsed per line; a line is a record."""
-    lines = spark.read.text(glob).select(_file().alias("source_file"), F.col("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    # a file's first line is its header: small, one a file
-    header = lines.groupBy("source_file").agg(F.min_by("value", F.struct("block", "at")).alias("header"), F.min(F.struct("block", "at")).alias("first"))
-    body = lines.join(header, "source_file").filter(F.struct("block", "at") > F.col("first")).filter(F.length(F.trim("value")) > 0)
-    cells = lambda c: F.transform(F.split(F.regexp_replace(c, "\r$", ""), ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"'))
-    names, values = cells(F.col("header")), cells(F.col("value"))
-    payload = F.map_from_arrays(F.slice(names, 1, F.least(F.size(names), F.size(values))), F.slice(values, 1, F.least(F.size(names), F.size(values))))
-    return body.select("source_file", F.struct("block", "at").alias("place"), payload.alias("payload"))
+    """Every file's records by its own header; quoted fields may hold line ends. A record with fewer fields than the header lacks the
+    last keys, fields beyond the header are dropped, and blank lines are skipped."""
+    lines = spark.read.option("lineSep", "\n").text(glob)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place")
+    records = _records(lines.select(_file().alias("source_file"), "value", place)).filter(F.length(F.trim("value")) > 0)
+    # a file's first record is its header: small, one a file
+    header = records.groupBy("source_file").agg(F.min_by("value", "place").alias("header"), F.min("place").alias("first"))
+    body = records.join(header, "source_file").filter(F.col("place") > F.col("first"))
+    names, values = _cells(F.col("header")), _cells(F.col("value"))
+    n = F.least(F.size(names), F.size(values))
+    return body.select("source_file", "place", F.map_from_arrays(F.slice(names, 1, n), F.slice(values, 1, n)).alias("payload"))
 
 
 def read_json_array(spark: SparkSession, glob: str) -> DataFrame:
