@@ -1,26 +1,38 @@
 """Stateful streaming deduplication of exact copies, with DataFrame and SQL functions only.
 
-Texts are equal when identical after deleting white space (U+0020, U+0009 to U+000D). A stream of (digest, length, id,
-locator) runs through keyed state without expiry, held on disk by the RocksDB state store: for each digest it retains the
-stable identifier (id) and content locator (file and row of the digest table) of the text that stays, and the group's size.
-Of equal texts the one with most code points in the original text stays, then the least id.
-
-Every hit (a row whose digest another row has) is then checked by its full bytes against the text that stays: rows with the
-same digest and other bytes form groups of their own. Texts that stay are dealt out once for every ``SALT_ROWS`` rows of
-their group, so that a large group doesn't meet in one task.
-
-Defined results: a null text counts as empty; all empty texts are equal; repeated rows (same id and text) are members of
-the group like others and one of them stays; a null id counts as less than all others; other columns are not looked at.
+Texts are equal when identical after deleting white space (U+0020, U+0009 to U+000D). A ``Deduplicator`` takes documents in any
+number of additions and keeps all it knows in a folder, so it goes on after a restart. For each addition it
+
+1. appends their digests to a table of (digest, length, id, locator), where the locator is the file and row of the content;
+2. runs the stream over that table from its checkpoint, in micro-batches of at most ``BATCH_BYTES`` of files. Keyed state without
+   expiry, held on disk by the RocksDB state store, retains for each digest the group's size, the stable identifier (id) and the
+   content locator of the text that stays: of equal texts the one with most code points in the original text, then the least id;
+3. checks every hit of the addition (a row whose digest another row has) by its full bytes against the text that stays; both are read
+   by their locators. Rows with the same digest and other bytes are set aside and form groups of their own. Where an addition
+   brings a text that stays in place of an earlier one, all earlier rows of its digest are checked again, and other bytes among
+   them (two texts of one SHA-256 digest) are an error.
+
+A marker ends each addition; one that a crash cut short is completed by the next.
+
+Texts that stay are dealt out once for every ``SALT_ROWS`` rows of their group and its rows by a hash of their locators, so that a large
+group doesn't meet in one task, whatever its ids.
+
+Defined results: a null text counts as empty; all empty texts are equal; repeated rows (same id and text) are members of the
+group like others and one of them stays; a null id counts as less than all others; other columns are not looked at; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lakeloom.llm.common import bounded_broadcast, cut, key, scratch_path
+from lakeloom.llm.common import bounded_broadcast, cut, scanned, scratch_path, temporary
 
 SALT_ROWS = 1000
+#: Bytes of the digest table (some 100 a document) that a micro-batch takes.
+BATCH_BYTES = 64_000_000
 _SPACES = " \t\n\x0b\x0c\r"
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -29,92 +41,149 @@ _STORE = {
     # without it each of many small stores sets megabytes of disk aside
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+_DIGESTS = "doc_id bigint, sha string, digest string, length bigint, file string, at bigint, wave int"
+_STATE = "digest string, size bigint, keep struct<negative: bigint, doc_id: bigint, file: string, at: bigint, wave: int>, batch bigint"
+_OTHER = "file string, at bigint, doc_id bigint, digest string, length bigint, normal string"
 
 
 def _normal(text) -> F.Column:
     return F.translate(F.coalesce(text, F.lit("")), _SPACES, "")
 
 
-def _digest(normal, digits: int) -> F.Column:
-    return F.substring(F.sha2(normal, 256), 1, digits)
-
-
-def _state(rows: DataFrame, files_per_batch: int | None) -> DataFrame:
-    """(digest, size, keep): the state of the stream after all of ``rows``, a table in the shared folder."""
-    spark = rows.sparkSession
-    path = rows.inputFiles()[0].rsplit("/", 1)[0] if rows.inputFiles() else None
-    before = {k: spark.conf.get(k, None) for k in _STORE}
-    out = scratch_path(spark, "dedup-state")
-    shape = "digest string, size bigint, keep struct<negative: bigint, doc_id: bigint, locator: bigint, file: string>, batch bigint"
-    if path is None:
-        return spark.createDataFrame([], shape).drop("batch")
-    try:
-        for k, v in _STORE.items():
-            spark.conf.set(k, v)
-        reader = spark.readStream.schema(rows.schema)
-        if files_per_batch:
-            reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        state = reader.parquet(path).groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((-F.col("length")).alias("negative"), "doc_id", "locator", "file")).alias("keep"))
-
-        def store(batch: DataFrame, n: int) -> None:
-            batch.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{out}/part={n}")
-
-        query = state.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", scratch_path(spark, "dedup-stream")).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    read = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(out)
-    return read.groupBy("digest").agg(F.max_by(F.struct("size", "keep"), "batch").alias("s")).select("digest", "s.*")
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_digits: int = 64, files_per_batch: int | None = None) -> DataFrame:
-    """A row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
-
-    ``digest_digits`` shortens the digest by which the state is keyed (for tests of the check of full bytes);
-    ``files_per_batch`` bounds the files of the digest table that a micro-batch takes."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(texts.select("doc_id", F.sha2(_normal(F.col("text")), 256).alias("sha"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("length"), F.monotonically_increasing_id().alias("locator"), F.input_file_name().alias("file")).withColumn("digest", F.substring("sha", 1, digest_digits)), "digests")
-    state = cut(_state(rows, files_per_batch), "dedup-kept")
-
-    hits = cut(state.filter("size > 1").select("digest", "size", F.col("keep.doc_id").alias("keep_id"), (-F.col("keep.negative")).alias("keep_length")), "dedup-hits")
-    few = bounded_broadcast(hits)
-    salts = F.ceil(F.col("size") / SALT_ROWS)
-    asked = texts.select("doc_id", _normal(F.col("text")).alias("normal"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("length")).withColumn("digest", _digest(F.col("normal"), digest_digits)).join(few, "digest")
-    stays = asked.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length"))).groupBy("digest", "size").agg(F.min("normal").alias("kept_normal"))
-    stays = stays.select("digest", "kept_normal", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1)).alias("salt"))
-    checked = asked.withColumn("salt", F.pmod(F.xxhash64("doc_id", "length"), salts).cast("long")).join(stays, ["digest", "salt"])
-    other = cut(checked.filter("normal <> kept_normal").select("digest", "doc_id", "length", "normal"), "dedup-other")
-
-    out = rows.join(state, "digest").select("doc_id", "sha", "digest", "length", F.col("keep.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept"))
-    if other.take(1):  # equal digests of unequal texts: groups by the texts themselves
-        ranked = rows.join(other.select("digest", "doc_id", "length").distinct(), ["digest", "doc_id", "length"], "left_semi")
-        own = other.distinct().select("digest", "doc_id", "length", F.sha2("normal", 256).alias("sha"), "normal")
-        ranked = ranked.join(own, ["digest", "doc_id", "length", "sha"])
-        groups = ranked.groupBy("digest", "normal").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("length")).alias("negative"), "doc_id", "locator")).alias("k"))
-        fixed = ranked.join(groups, ["digest", "normal"]).select("doc_id", "locator", "digest", "n", F.col("k.doc_id").alias("k_id"), (F.col("locator") == F.col("k.locator")).alias("k_kept"))
-        less = ranked.groupBy("digest").agg(F.count(F.lit(1)).alias("gone"))
-        joined = rows.join(state, "digest").join(fixed.select("locator", "n", "k_id", "k_kept"), "locator", "left").join(less, "digest", "left")
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns ``__file`` and ``__at`` that locate each row's content: those of a table read as it is, or else of a
+    copy of the rows in the shared folder."""
+    if not scanned(docs):
+        docs = cut(docs, "documents", outer=True)
+    return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+
+
+class Deduplicator:
+    """Deduplication whose state lives in ``folder``. ``digest_digits`` shortens the digest by which the state is keyed (for tests of the
+    check of full bytes); it and ``batch_bytes`` bind a folder's first addition and all others."""
+
+    def __init__(self, spark: SparkSession, folder: str, digest_digits: int = 64, batch_bytes: int = BATCH_BYTES):
+        self.spark, self.folder, self.digits, self.batch_bytes = spark, folder.rstrip("/"), digest_digits, batch_bytes
+
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        if not self._exists(name):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{name}")
+
+    def digests(self) -> DataFrame:
+        return self._read("digests", _DIGESTS)
+
+    def state(self) -> DataFrame:
+        """(digest, size, keep) after all that the stream has taken."""
+        return self._read("state", _STATE).groupBy("digest").agg(F.max_by(F.struct("size", "keep"), "batch").alias("s")).select("digest", "s.*")
+
+    def _waves(self, name: str) -> set[int]:
+        """The additions of which a folder holds something."""
+        if not self._exists(name):
+            return set()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        return {int(s.getPath().getName().split("=")[1]) for s in found if "=" in s.getPath().getName()}
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Take ``docs`` (located). Files that were taken before aren't taken again."""
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("__file").alias("file"), F.col("__at").alias("at"))
+        sha = F.sha2(_normal(F.col("text")), 256).alias("sha")
+        length = F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("length")
+        wave = max(self._waves("digests"), default=-1) + 1
+        rows = texts.select("doc_id", sha, length, "file", "at").withColumn("digest", F.substring("sha", 1, self.digits))
+        if wave:
+            files = cut(self.digests().select("file").distinct(), "known-files")
+            rows = rows.join(bounded_broadcast(files), "file", "left_anti")
+        rows = rows.select("doc_id", "sha", "digest", "length", "file", "at", F.lit(wave).cast("int").alias("wave"))
+        rows.write.parquet(f"{self.folder}/digests/part={wave}")
+        self._run()
+        for w in sorted(self._waves("digests") - self._waves("checked")):
+            with temporary(self.spark):
+                self._check(w, T.StructType([docs.schema[text_col]]))
+
+    def _run(self) -> None:
+        spark = self.spark
+        before = {k: spark.conf.get(k, None) for k in _STORE}
+        try:
+            for k, v in _STORE.items():
+                spark.conf.set(k, v)
+            stream = spark.readStream.schema(_DIGESTS).option("recursiveFileLookup", "true").option("maxBytesPerTrigger", self.batch_bytes).parquet(f"{self.folder}/digests")
+            kept = F.min(F.struct((-F.col("length")).alias("negative"), "doc_id", "file", "at", "wave")).alias("keep")
+            state = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), kept)
+
+            def store(batch: DataFrame, n: int) -> None:
+                batch.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/state/part={n}")
+
+            query = state.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    def _check(self, wave: int, schema: T.StructType) -> None:
+        """Compare the full bytes of all hits of an addition with the text that stays, and append rows with other bytes to ``other``.
+        ``schema`` has the column of texts alone."""
+        hits = self.state().filter("size > 1")
+        hits = cut(hits.select("digest", F.ceil(F.col("size") / SALT_ROWS).alias("salts"), F.col("keep.file").alias("f"), F.col("keep.at").alias("a"), (F.col("keep.wave") == wave).alias("moved")), "dedup-hits")
+        stays = (F.col("file") == F.col("f")) & (F.col("at") == F.col("a"))
+        places = self.digests().join(bounded_broadcast(hits), "digest").filter((F.col("wave") == wave) | F.col("moved") & (F.col("wave") < wave) | stays)
+        places = cut(places.select("file", "at", "doc_id", "length", "digest", "salts", "wave", stays.alias("stays")), "dedup-places")
+        files = [r["file"] for r in places.select("file").distinct().toLocalIterator()]  # as many as a scan of the contents lists
+        if files:
+            contents = self.spark.read.schema(schema).parquet(*files)
+            contents = contents.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.col(schema[0].name).cast("string").alias("text"))
+            asked = contents.join(bounded_broadcast(places), ["file", "at"]).withColumn("normal", _normal(F.col("text"))).drop("text")
+            kept = asked.filter("stays").select("digest", F.col("normal").alias("kept_normal"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+            asked = asked.filter("not stays").withColumn("salt", F.pmod(F.xxhash64("file", "at"), F.col("salts")))
+            other = cut(asked.join(kept, ["digest", "salt"]).filter("normal <> kept_normal"), "dedup-other")
+            if other.filter(F.col("wave") < wave).take(1):
+                raise ValueError("a digest stands for two texts, of which a later addition displaced the one that stayed")
+            other.select("file", "at", "doc_id", "digest", "length", "normal").write.mode("append").parquet(f"{self.folder}/other")
+        self.spark.range(1).write.parquet(f"{self.folder}/checked/wave={wave}")
+
+    def groups(self) -> DataFrame:
+        """A row per row added: ``file, at, doc_id, keep_id, group_size, kept, text_sha256``."""
+        rows, state = self.digests(), cut(self.state(), "dedup-kept")
+        is_kept = (F.col("file") == F.col("keep.file")) & (F.col("at") == F.col("keep.at"))
+        out = rows.join(state, "digest").select("file", "at", "doc_id", "sha", "digest", F.col("keep.doc_id").alias("keep_id"), F.col("size").alias("group_size"), is_kept.alias("kept"))
+        other = self._read("other", _OTHER)
+        if other.take(1):  # equal digests of unequal texts: groups by the texts themselves
+            out = self._split(out, other)
+        return out.select("file", "at", "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
+
+    def _split(self, out: DataFrame, other: DataFrame) -> DataFrame:
+        first = F.min(F.struct((-F.col("length")).alias("negative"), "doc_id", "file", "at")).alias("k")
+        own = other.groupBy("digest", "normal").agg(F.count(F.lit(1)).alias("n"), first)
+        is_kept = (F.col("file") == F.col("k.file")) & (F.col("at") == F.col("k.at"))
+        fixed = other.join(own, ["digest", "normal"]).select("file", "at", "n", F.col("k.doc_id").alias("k_id"), is_kept.alias("k_kept"))
+        less = other.groupBy("digest").agg(F.count(F.lit(1)).alias("gone"))
+        both = out.join(fixed, ["file", "at"], "left").join(less, "digest", "left")
         is_own = F.col("n").isNotNull()
-        out = joined.select("doc_id", "sha", F.when(is_own, F.col("k_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"), F.when(is_own, F.col("n")).otherwise(F.col("size") - F.coalesce("gone", F.lit(0))).alias("group_size"), F.when(is_own, F.col("k_kept")).otherwise(F.col("locator") == F.col("keep.locator")).alias("kept"))
-    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
+        size = F.when(is_own, F.col("n")).otherwise(F.col("group_size") - F.coalesce("gone", F.lit(0)))
+        return both.select("file", "at", "doc_id", "sha", "digest", F.when(is_own, F.col("k_id")).otherwise(F.col("keep_id")).alias("keep_id"), size.alias("group_size"), F.when(is_own, F.col("k_kept")).otherwise(F.col("kept")).alias("kept"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, digest_digits: int, batch_bytes: int, folder: str | None) -> DataFrame:
+    spark = docs.sparkSession
+    dedup = Deduplicator(spark, folder or scratch_path(spark, "dedup"), digest_digits, batch_bytes)
+    dedup.add(docs, id_col, text_col)
+    return dedup.groups()
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_digits: int = 64, batch_bytes: int = BATCH_BYTES, folder: str | None = None) -> DataFrame:
+    """A row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``. With ``folder`` the state stays there, and the result
+    covers what was added to it before too."""
+    return _groups(located(docs), id_col, text_col, digest_digits, batch_bytes, folder).drop("file", "at")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that equal one that stays; all their columns stay."""
-    found = cut(exact_groups(docs, id_col, text_col), "copies")
-    gone = cut(found.filter("not kept").select(key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "gone")
-    twice = cut(found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any")).filter("n > 1 and any").select(key(F.col("doc_id")).alias("__id")), "twice")
-    if not twice.take(1):
-        # ids that stand for one text each need no digest of it
-        plain = found.groupBy(key(F.col("doc_id")).alias("__id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        if not plain.take(1):
-            ids = gone.select("__id")
-            return docs.join(bounded_broadcast(ids), key(docs[id_col]) == ids["__id"], "left_anti")
-    # repeated rows: number the rows of each id and text, and keep the first where that text stays
-    from pyspark.sql import Window
-
-    marked = docs.withColumn("__id", key(F.col(id_col))).withColumn("__sha", F.sha2(_normal(F.col(text_col).cast("string")), 256))
-    stay = found.filter("kept").select(key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    own = Window.partitionBy("__id", "__sha").orderBy(F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).desc())
-    return marked.join(stay, ["__id", "__sha"], "left_semi").withColumn("__nth", F.row_number().over(own)).filter("__nth = 1").select(*docs.columns)
+    """``docs`` without the rows that equal one that stays, told by their locators; all their columns stay."""
+    placed = located(docs)
+    found = _groups(placed, id_col, text_col, 64, BATCH_BYTES, None)
+    gone = cut(found.filter("not kept").select(F.col("file").alias("__file"), F.col("at").alias("__at")), "gone")
+    return placed.join(bounded_broadcast(gone), ["__file", "__at"], "left_anti").select(*docs.columns)
