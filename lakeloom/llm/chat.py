@@ -4,13 +4,17 @@ Legal conversations: an optional system turn, then user and assistant turns in a
 ones, ending with the assistant. Each turn is kept, merged with the turn before it, given another role, or preceded by
 inserted empty turns; dynamic programming over the automaton of legal turns finds a repair of least cost.
 
-Long conversations are dealt to tasks in segments of ``SEGMENT`` turn numbers. A segment's costs from each state to each state
-are a small matrix; the matrices of a conversation, in order, give the states between segments; then each segment is repaired
-on its own. So no task needs all turns of a conversation.
+Turns are dealt to tasks by ranges of (conversation, turn) in their order, and a range is cut into segments of at most ``SEGMENT`` turns
+of one conversation, so that a conversation of any length, or a turn number of any number of rows, takes several tasks. A
+segment's costs from each state to each state are a small matrix; the matrices of a conversation, in order, give the states between
+segments; then each segment is repaired on its own. No task holds more than a segment's turns, or all matrices of a conversation.
 
-Turns are ordered by number (null last), role and text. Defined results: a null text counts as empty; a role that isn't known
-(or null) has to be relabelled, at a lower cost; rows with null conversation id form one conversation; repeated rows are
-turns each; other columns are not looked at. Control marks within a text are broken up by a blank.
+The rendered conversation is the pieces of its turns in the order of ``begin``, the place of each in it; so it is defined by rows
+without bringing a conversation together, and ``rendered`` does that for those short enough.
+
+Turns are ordered by number (null last), role and a hash of the text. Defined results: a null text counts as empty; a role that isn't
+known (or null) has to be relabelled, at a lower cost; rows with null conversation id form one conversation; repeated rows are
+turns each; other columns are not looked at; an empty table gives no rows. Control marks within a text are broken up by a blank.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, key, prepare_workers, task
+from lakeloom.llm.common import NULL_ID, bounded_broadcast, cut, key, prepare_workers, task
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Of each state (the role of the last turn, or the start) the roles that may follow.
@@ -144,24 +148,41 @@ def piece(text: str | None, role: str, action: str, empty: tuple[str, ...], firs
     return ("" if first else END) + opened + f"{BEGIN}{role}\n{plain}"
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """The rows of each (conversation, segment) of a sorted partition."""
-    held, at = [], None
+def _cut(segment: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a sorted range with the number of their segment and their place in it."""
+    from pyspark import TaskContext
+
+    number, at, conv = (TaskContext.get().partitionId() << 32) - 1, 0, ()
+    for batch in batches:
+        numbers, places = [], []
+        for c in batch.column(0).to_pylist():
+            if c != conv or at == segment:
+                conv, number, at = c, number + 1, 0
+            numbers.append(number)
+            places.append(at)
+            at += 1
+        yield batch.append_column("segment", pa.array(numbers, pa.int64())).append_column("at", pa.array(places, pa.int64()))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: int, *columns: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The rows (those columns) of each run of equal values of two columns from ``key`` on."""
+    held: list[tuple] = []
+    now = None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:2] != at:
+            if row[key : key + 2] != now:
                 if held:
-                    yield at, held
-                held, at = [], row[:2]
-            held.append(row)
+                    yield now, held
+                held, now = [], row[key : key + 2]
+            held.append(tuple(row[i] for i in columns))
     if held:
-        yield at, held
+        yield now, held
 
 
 @task
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (conv, segment), rows in _segments(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([segment], pa.int64()), pa.array([costs([r[3] for r in rows])], pa.list_(pa.list_(pa.int64())))], names=["conv", "segment", "matrix"])
+    for (conv, segment), rows in _runs(batches, 0, 2):
+        yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([segment], pa.int64()), pa.array([costs([r[0] for r in rows])], pa.list_(pa.list_(pa.int64())))], names=["conv", "segment", "matrix"])
 
 
 @task
@@ -175,48 +196,73 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], names=["conv", "segment", "entry", "exit", "opens", "closes"])
 
 
-_OUT = pa.schema([("conv", pa.int64()), ("segment", pa.int64()), ("at", pa.int64()), ("turn", pa.int64()), ("role_in", pa.string()), ("role", pa.string()), ("action", pa.string()), ("cost", pa.int64()), ("piece", pa.string())])
+_OUT = pa.schema([("conv", pa.int64()), ("segment", pa.int64()), ("at", pa.int64()), ("turn", pa.int64()), ("role_in", pa.string()), ("role", pa.string()), ("action", pa.string()), ("cost", pa.int64()), ("piece", pa.string()), ("offset", pa.int64()), ("chars", pa.int64())])
 
 
 @task
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
-    for (conv, segment), rows in _segments(batches):
+    held = 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
+
+    for (conv, segment), rows in _runs(batches, 0, *range(2, 11)):
         entry, exit_state, opens, closes = rows[0][5:9]
-        fixed = repair([r[3] for r in rows], entry, exit_state)
-        for i, (r, (role, action, cost, empty)) in enumerate(zip(rows, fixed, strict=True)):
-            text = piece(r[4], role, action, empty, opens and i == 0)
+        fixed = repair([r[2] for r in rows], entry, exit_state)
+        offset = 0
+        for i, ((at, turn, _, role_in, text, *_), (role, action, cost, empty)) in enumerate(zip(rows, fixed, strict=True)):
+            added = piece(text, role, action, empty, opens and i == 0)
             if closes and i == len(rows) - 1:
-                more, added = ending(role)
-                action, cost = action + ("+close" if added else ""), cost + more
-                text += END + "".join(f"{BEGIN}{x}\n{END}" for x in added)
-            out.append((conv, segment, i, r[2], r[3], role, action, cost, text))
-        if len(out) >= 1000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
-            out = []
+                more, close = ending(role)
+                action, cost = action + ("+close" if close else ""), cost + more
+                added += END + "".join(f"{BEGIN}{x}\n{END}" for x in close)
+            out.append((conv, segment, at, turn, role_in, role, action, cost, added, offset, len(added)))
+            offset += len(added)
+            held += len(added)
+            if len(out) >= 1000 or held > 1_000_000:
+                yield made()
+                out.clear()
+                held = 0
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
+        yield made()
+
+
+#: Rows that a range of turns has, about.
+RANGE_ROWS = 100_000
 
 
-def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """A row per turn: ``conv_id, segment, at`` (its place in the segment), ``turn, role_in, role, action, cost`` and ``piece`` (what
-    it adds to the rendered conversation, with empty turns inserted before it and, on the last turn, at the end)."""
+def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", segment: int = SEGMENT, ranges: int | None = None) -> DataFrame:
+    """A row per turn: ``conv_id, segment, at`` (its place in the segment), ``turn, role_in`` (as given), ``role, action, cost, piece`` (what
+    it adds to the rendered conversation, with empty turns inserted before it and, on the last turn, at the end) and ``begin`` (the
+    place of the piece in it, in characters)."""
     prepare_workers(turns.sparkSession)
-    rows = turns.select(key(F.col(conv_col)).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.lower(F.trim(F.col(role_col).cast("string"))).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(2**62)))
-    order = ["conv", "segment", F.col("turn").asc_nulls_last(), "role"]
-    parts = rows.select("conv", "segment", "turn", "role").repartition("conv", "segment").sortWithinPartitions(*order)
+    given, text = F.col(role_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = turns.select(key(F.col(conv_col)).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.lower(F.trim(given)).alias("role"), given.alias("role_in"), text.alias("text"))
+    if ranges is None:
+        ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    order = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.xxhash64("text"), F.col("row")]
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop("row")
+    shape = "conv long, turn long, role string, role_in string, text string, segment long, at long"
+    dealt = cut(dealt.mapInArrow(lambda it: _cut(segment, it), shape), "turns")
+    by = ["conv", "segment"]
+    parts = dealt.select(*by, "role", "at").repartition(*by).sortWithinPartitions(*by, "at")
     matrices = parts.mapInArrow(_matrices, "conv long, segment long, matrix array<array<long>>")
-    # one small matrix for each SEGMENT turns of a conversation
+    # a small matrix for each segment of a conversation
     listed = matrices.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("segment", "matrix"))).alias("parts"))
-    ends = listed.mapInArrow(_ends, "conv long, segment long, entry string, exit string, opens boolean, closes boolean")
-    both = rows.join(cut(ends, "segments"), ["conv", "segment"]).select("conv", "segment", "turn", "role", "text", "entry", "exit", "opens", "closes")
-    both = both.repartition("conv", "segment").sortWithinPartitions(*order, "text")
-    out = both.mapInArrow(_repaired, "conv long, segment long, at long, turn long, role_in string, role string, action string, cost long, piece string")
-    return out.select(F.when(F.col("conv") != F.lit(-(2**63)), F.col("conv")).alias("conv_id"), "segment", "at", "turn", "role_in", "role", "action", "cost", "piece")
+    ends = cut(listed.mapInArrow(_ends, "conv long, segment long, entry string, exit string, opens boolean, closes boolean"), "segments")
+    both = dealt.join(ends, by).select(*by, "at", "turn", "role", "role_in", "text", "entry", "exit", "opens", "closes")
+    both = both.repartition(*by).sortWithinPartitions(*by, "at")
+    out = both.mapInArrow(_repaired, "conv long, segment long, at long, turn long, role_in string, role string, action string, cost long, piece string, offset long, chars long")
+    out = cut(out, "repaired")
+    sizes = out.groupBy(*by).agg(F.sum("chars").alias("n"))
+    own = Window.partitionBy("conv").orderBy("segment")
+    before = cut(sizes.select(*by, (F.sum("n").over(own) - F.col("n")).alias("base")), "places")
+    out = out.join(bounded_broadcast(before), by)
+    return out.select(F.when(F.col("conv") != F.lit(NULL_ID), F.col("conv")).alias("conv_id"), "segment", "at", "turn", "role_in", "role", "action", "cost", "piece", (F.col("base") + F.col("offset")).alias("begin"))
 
 
 def rendered(repaired: DataFrame) -> DataFrame:
     """(conv_id, text) of whole conversations, for those short enough for one row each."""
-    pieces = repaired.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("segment", "at", "piece"))).alias("p"))
+    pieces = repaired.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("begin", "piece"))).alias("p"))
     return pieces.select("conv_id", F.concat_ws("", F.transform("p", lambda x: x["piece"])).alias("text"))
