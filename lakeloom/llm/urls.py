@@ -4,10 +4,11 @@ A rule (host, path) fits its host and all subdomains if the url's path starts wi
 fits, the labels of the host are split into words by a unigram Viterbi search, and a multinomial naive Bayes model scores the
 words of host and path.
 
-The unigram counts are those of all words of all pages. They stay in a table: the parts of a label that are at most ``LONGEST_WORD``
-letters long are joined with it, and each label is split by the counts of its own parts. The model is trained on all urls: those whose
+The unigram counts are those of all words of all pages. They stay in a table: the parts of a label that are as long as any counted
+word are joined with it, and each label is split by the counts of its own parts. The model is trained on all urls: those whose
 words of host or path hold one of ``BLOCK_WORDS`` or its plural are examples to block and the others examples to allow, so words that
-go along with these count too. Words of a path are split like those of a host and begin with ``/``. Its counts stay in a table as well, and the words of the urls are joined with it. Work on words is done once for urls of equal tokens.
+go along with these count too. (The tables have no labels of urls, and the rules go by domain and language, which say nothing of content, so
+urls that the rules decide aren't taken as examples.) Words of a path are split like those of a host and begin with ``/``. Its counts stay in a table as well, and the words of the urls are joined with it. Work on words is done once for urls of equal tokens.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no words, and is allowed by the prior; repeated rows
 are judged each; null html adds no words; other columns are not looked at.
@@ -30,7 +31,6 @@ from lakeloom.llm.common import bounded_broadcast, cut, prepare_workers, task
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words that mark an url as an example to block.
 BLOCK_WORDS = ("adult", "bet", "casino", "cheap", "crack", "gambling", "hack", "loan", "loans", "malware", "nude", "phishing", "pills", "poker", "porn", "sex", "spam", "torrent", "viagra", "warez", "xxx")
-LONGEST_WORD = 24
 #: Host labels that say nothing of the content.
 _PLAIN_LABELS = frozenset(("www", "m", "blog", "com", "net", "org", "example"))
 #: Words to block and their plurals.
@@ -55,17 +55,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 class Segmenter:
-    """The most likely split of a name into words by their unigram counts, of ``total`` words in all."""
+    """The most likely split of a name into words by their unigram counts, of ``total`` words in all. Letters that make up no counted
+    word may be an unknown one of any length, at a cost for the word and for each letter."""
 
     def __init__(self, counts: dict[str, int], total: int | None = None):
         total = (sum(counts.values()) if total is None else total) or 1
         self.cost = {w: math.log(total / n) for w, n in counts.items() if n > 0}
-        self.unknown = [math.log(total) + n * math.log(10) for n in range(LONGEST_WORD + 1)]
+        self.lengths = sorted({len(w) for w in self.cost}, reverse=True)
+        self.word, self.letter = math.log(total), math.log(10)
 
     def split(self, name: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
+        run, run_from = math.inf, 0  # the best split whose last word is unknown, and where that begins
         for end in range(1, len(name) + 1):
-            options = ((best[a] + self.cost.get(name[a:end], self.unknown[end - a]), a) for a in range(max(0, end - LONGEST_WORD), end))
+            if best[end - 1] + self.word < run:
+                run, run_from = best[end - 1] + self.word, end - 1
+            run += self.letter
+            options = [(run, run_from)]
+            for n in self.lengths:
+                if n <= end and (cost := self.cost.get(name[end - n : end])) is not None:
+                    options.append((best[end - n] + cost, end - n))
             cost, a = min(options)
             best.append(cost)
             back.append(a)
@@ -85,7 +94,7 @@ def tokens_of(host: str, path: str) -> list[str]:
 def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(w, n): the counts of all words of all pages (markup left out)."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).filter(F.length("w").between(1, LONGEST_WORD))
+    words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).filter("w <> ''")
     return words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -98,12 +107,12 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @task
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(lengths: tuple[int, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, w): the parts of each token that may be a word."""
     for batch in batches:
         for t in batch.column(0).to_pylist():
             for low in range(0, len(t), 1000):
-                parts = sorted({t[a:b] for a in range(low, min(low + 1000, len(t))) for b in range(a + 1, min(a + LONGEST_WORD, len(t)) + 1)})
+                parts = sorted({t[a : a + n] for n in lengths for a in range(low, min(low + 1000, len(t) - n + 1))})
                 yield pa.RecordBatch.from_arrays([pa.array([t] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["token", "w"])
 
 
@@ -118,7 +127,9 @@ def _split(total: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def splits(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     """(token, split): the words of each of the distinct ``tokens`` by all of ``counts``."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    known = tokens.mapInArrow(_parts, "token string, w string").join(counts, "w").groupBy("token").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    # as many lengths as there are different ones among all words
+    lengths = tuple(sorted(r["n"] for r in counts.select(F.length("w").alias("n")).distinct().collect()))
+    known = tokens.mapInArrow(lambda it: _parts(lengths, it), "token string, w string").distinct().join(counts, "w").groupBy("token").agg(F.collect_list(F.struct("w", "n")).alias("known"))
     return tokens.join(known, "token", "left").mapInArrow(lambda it: _split(total, it), "token string, split array<string>")
 
 
