@@ -1,18 +1,20 @@
-"""Near-duplicates by Order MinHash over runs of five words, verified by banded alignment.
+"""Near-duplicates by Order MinHash over runs of five words, verified by banded alignment of the words.
 
-Of every document the occurrence-labelled word runs are hashed under ``SKETCHES`` permutations. A sketch is the ``ROWS`` runs
+Of every document the occurrence-labelled runs of five words are hashed under ``SKETCHES`` permutations. A sketch is the ``ROWS`` runs
 with least hashes, kept in text order, so documents agree in it only if they share these runs in the same order.
 
 Copies (same words) are first collapsed to one node. Nodes that agree in a sketch are candidates. In groups of up to
 ``SMALL`` nodes all pairs are taken. In larger groups each member is compared with the most central one. The groups whose
-members are then still in different classes are finished exactly, by their rare runs: with the runs of each node in one
-order, the rarest first, two nodes can only link if they share a run among the first of both (as many as a link leaves
-unaligned, and one). So nodes are joined on these runs, and pairs of one class are left out. Passages that many documents
-share are not among their rarest runs, so work grows with the documents and not with the square of a group's size.
+members are then still in different classes are finished exactly, by their rare words: with the occurrence-labelled words of each
+node in one order, the rarest first, two nodes can only link if they share a word among the first of both (as many as a link
+leaves unaligned, and one). So nodes are joined on these words, and pairs of one class are left out. Words of passages that many
+documents share are not among their rarest, so work grows with the documents and not with the square of a group's size.
 
-A candidate pair is a link if the aligned runs in common make up ``SIMILARITY`` of all runs of both. The runs of a document
-are distinct once labelled, so the alignment is the longest increasing chain of matched places, within the band that a
-link allows. Classes are the connected components of the links.
+A candidate pair is a link if the longest common subsequence of its words, with no two aligned words further apart than a link allows,
+makes up ``SIMILARITY`` of all words of both (common / (n + m - common)): about one word in nine may be replaced, left out or
+added. Five-word runs with one of these words changed all differ, so the runs of such a pair agree in 0.38 or more; ``SKETCHES`` and
+``ROWS`` are chosen to find nine of ten of the least similar of these, and nearly all others. Classes are the connected
+components of the links.
 
 Defined results: texts without a word (null, empty, punctuation) are alone in their class; a text of one to four words has one
 run of all its words; repeated rows share a class; rows with null id count as copies like others; other columns stay out.
@@ -21,7 +23,6 @@ run of all its words; repeated rows share a class; rows with null id count as co
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import ROW, bounded_broadcast, by_bytes, cut, key, numbered, prepare_workers, task, texts_of, without
+from lakeloom.llm.common import ROW, ROW_TYPE, bounded_broadcast, by_bytes, cut, key, numbered, prepare_workers, task, temporary, texts_of, without
 from lakeloom.llm.tokens import labelled, mix, shingles, words
 
 RUN, SIMILARITY = 5, 0.8
-SKETCHES, ROWS = 16, 3
+SKETCHES, ROWS = 20, 2
 SMALL = 32
-#: Counts of runs, kept in every worker (8 MB), whatever the size of the input.
+#: Pairs of one node that are verified in one task; those of a node with more are dealt to several.
+SALT_ROWS = 250
+#: Counts of words, kept in every worker (8 MB), whatever the size of the input.
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 _SEEDS = [np.uint64(int.from_bytes(hashlib.blake2b(b"order-minhash %d" % i, digest_size=8).digest(), "little")) for i in range(SKETCHES)]
 _TOP = np.uint64(2**64 - 1)
@@ -77,49 +80,70 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first = words(texts_of(batch, "text"))
         runs, run_first = shingles(own, first, RUN)
         rows = sketches(labelled(runs, run_first), run_first).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_digests(own, first), pa.binary()), pa.array(np.diff(run_first)), pa.array(list(rows), pa.list_(pa.int64()))], names=[ROW, "doc_id", "node", "n", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_digests(own, first), pa.binary()), pa.array(np.diff(first)), pa.array(list(rows), pa.list_(pa.int64()))], names=[ROW, "doc_id", "node", "n", "sketch"])
 
 
 @task
-def _with_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text"):
         own, first = words(texts_of(batch, "text"))
-        runs, run_first = shingles(own, first, RUN)
-        low = labelled(runs, run_first).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(_digests(own, first), pa.binary()), pa.array([low[a:b].tobytes() for a, b in zip(run_first[:-1], run_first[1:], strict=True)], pa.binary())], names=["node", "runs"])
+        low = own.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(_digests(own, first), pa.binary()), pa.array([low[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["node", "words"])
+
+
+def needed(n: int, m: int, least: float) -> float:
+    """Words in common that a link of n and m words has at least."""
+    return least * (n + m) / (1 + least) - 1e-9
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned runs in common over all runs of both, or 0.0 if the band shows that it is under ``least``."""
+    """The longest common subsequence of two texts over all words of both, or 0.0 if it is under ``least``.
+
+    The dynamic programme keeps a row as the bits of one number, so a word costs a few operations on it; only words within the band
+    match, as a link leaves no more words unaligned. Equal words at both ends are aligned at once."""
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < least * max(n, m):
         return 0.0
-    need = least * (n + m) / (1 + least) - 1e-9
-    band = n + m - 2 * need  # a link leaves no more runs unaligned, so no aligned places differ by more
-    order = np.argsort(b, kind="stable")
-    at = np.minimum(np.searchsorted(b, a, sorter=order), m - 1)
-    place = order[at]
-    hit = (b[place] == a) & (np.abs(place - np.arange(n)) <= band)
-    chain = place[hit]
-    if len(chain) < need:
-        return 0.0
-    if len(chain) > 1 and (np.diff(chain) <= 0).any():
-        tails: list[int] = []
-        for x in chain.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        common = len(tails)
-    else:
-        common = len(chain)
+    need = needed(n, m, least)
+    band = int(n + m - 2 * need)
+    short = min(n, m)
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    a, b = a[head:], b[head:]
+    short = min(len(a), len(b))
+    differ = np.flatnonzero(a[len(a) - short :][::-1] != b[len(b) - short :][::-1])
+    tail = int(differ[0]) if len(differ) else short
+    a, b = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+    common = head + tail
+    if a and b:
+        places: dict[int, int] = {}
+        for j, w in enumerate(b):
+            places[w] = places.get(w, 0) | 1 << j
+        full = (1 << len(b)) - 1
+        row, window = full, (1 << (2 * band + 1)) - 1
+        for i, w in enumerate(a):
+            at = places.get(w)
+            if at is None:
+                continue
+            # places i - band to i + band of b
+            own = row & at & (window << (i - band) if i >= band else window >> (band - i))
+            if own:
+                row = ((row + own) | (row - own)) & full
+        common += len(b) - row.bit_count()
     return common / (n + m - common) if common >= need else 0.0
 
 
 def _flat(col: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of all rows of ``col`` one after another, and where each row's begin and end."""
+    """The words of all rows of ``col`` one after another, and where each row's begin and end."""
     ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     return np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32), (ends - ends[0]) // 4
 
 
+def _labelled(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words that differ by occurrence within their text, 32 bits each."""
+    return labelled(flat.astype(np.uint64), ends).astype(np.uint32)
+
+
 def _blocks(held: np.ndarray) -> pa.RecordBatch:
     """The counters above 0, a row for each BLOCK of them: its number, the counters and their counts."""
     at = np.flatnonzero(held)
@@ -140,7 +164,7 @@ _COUNTS = "block int, counters binary, counts binary"
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        held += np.bincount(_flat(batch.column(0))[0] & np.uint32(COUNTERS - 1), minlength=COUNTERS)
+        held += np.bincount(_labelled(*_flat(batch.column(0))) & np.uint32(COUNTERS - 1), minlength=COUNTERS)
     yield _blocks(held)
 
 
@@ -154,42 +178,52 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @task
 def _rarest(batches: Iterator[pa.RecordBatch], often: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in by_bytes([whole], "runs")):
-        run, ends = _flat(batch.column(2))
-        n = np.diff(ends)
-        text, c = np.repeat(np.arange(len(n)), n), often[run & np.uint32(COUNTERS - 1)]
-        order = np.lexsort((run, c, text))
-        at = np.arange(len(run)) - np.repeat(ends[:-1], n)
-        kept = (at <= np.repeat(np.floor(n * (1 - least) + 1e-6), n)) & (c[order] > 1)  # a run counted once matches none
+    for batch in (part for whole in batches for part in by_bytes([whole], "words")):
+        flat, ends = _flat(batch.column(2))
+        word, n = _labelled(flat, ends), np.diff(ends)
+        text, c = np.repeat(np.arange(len(n)), n), often[word & np.uint32(COUNTERS - 1)]
+        order = np.lexsort((word, c, text))
+        at = np.arange(len(word)) - np.repeat(ends[:-1], n)
+        kept = (at <= np.repeat(np.floor(n * (1 - least) + 1e-6), n)) & (c[order] > 1)  # a word counted once matches none
         of = pa.array(text[kept])
-        yield pa.RecordBatch.from_arrays([pa.array(run[order][kept].view(np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(n[text[kept]]), pa.array(at[kept])], names=["run", "node", "root", "n", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(word[order][kept].view(np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(n[text[kept]]), pa.array(at[kept])], names=["word", "node", "root", "n", "at"])
 
 
 @task
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in by_bytes(by_bytes([whole], "runs_u"), "runs_v")):
+    for batch in (part for whole in batches for part in by_bytes(by_bytes([whole], "words_u"), "words_v")):
         (a, at_a), (b, at_b) = _flat(batch.column(2)), _flat(batch.column(3))
         n, m = np.diff(at_a), np.diff(at_b)
         pair = np.arange(len(n), dtype=np.uint64) << np.uint64(32)
-        # runs in common, whatever their places, are no fewer than those aligned: most pairs that are no link end here
-        both = np.concatenate([np.repeat(pair, n) | a, np.repeat(pair, m) | b])
+        # words in common, whatever their places, are no fewer than those aligned: most pairs that are no link end here
+        both = np.concatenate([np.repeat(pair, n) | _labelled(a, at_a), np.repeat(pair, m) | _labelled(b, at_b)])
         both.sort()
         common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(n))
         sims = np.zeros(len(n))
-        for k in np.flatnonzero(common >= least * (n + m) / (1 + least) - 1e-9).tolist():
+        for k in np.flatnonzero(common >= needed(n, m, least)).tolist():
             sims[k] = aligned(a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]], least)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["u", "v", "sim"])
 
 
-def _links(pairs: DataFrame, runs: DataFrame, least: float) -> DataFrame:
-    """(u, v, sim) of all ``pairs``, with the alignment done from the stored runs of both."""
-    a, b = (runs.select(F.col("node").alias(k), F.col("runs").alias(f"runs_{k}")) for k in "uv")
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", "runs_u", "runs_v")
-    return both.mapInArrow(lambda it: _verified(it, least), "u binary, v binary, sim double")
+def _with_side(pairs: DataFrame, side: str, other: str, texts: DataFrame) -> DataFrame:
+    """``pairs`` with the words of one side. A node of many pairs (the centre of a large group) has a copy of its words for each
+    SALT_ROWS of them, and its pairs are dealt to the copies."""
+    hot = cut(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > SALT_ROWS), "hot")
+    hot = bounded_broadcast(hot.select(side, F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("copies")))
+    salted = pairs.join(hot, side, "left").withColumn("salt", F.coalesce(F.pmod(F.hash(other), F.col("copies")), F.lit(0))).drop("copies")
+    own = texts.select(F.col("node").alias(side), F.col("words").alias(f"words_{side}")).join(hot, side, "left")
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return salted.join(own, [side, "salt"]).drop("salt")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(u, v, sim) of all ``pairs`` (stored), with the alignment done from the stored words of both."""
+    both = _with_side(_with_side(pairs, "u", "v", texts), "v", "u", texts)
+    return both.select("u", "v", "words_u", "words_v").mapInArrow(lambda it: _verified(it, least), "u binary, v binary, sim double")
 
 
 def _pairs_within(rows: DataFrame, on: list[str], least: float) -> DataFrame:
-    """All pairs of the nodes of each (small) group whose numbers of runs allow a link."""
+    """All pairs of the nodes of each (small) group whose numbers of words allow a link."""
     a, b = rows.select(*on, F.col("node").alias("u"), F.col("n").alias("nu")), rows.select(*on, F.col("node").alias("v"), F.col("n").alias("nv"))
     return a.join(b, on).filter(F.col("u") < F.col("v")).filter((F.least("nu", "nv") >= least * F.greatest("nu", "nv"))).select("u", "v").distinct()
 
@@ -211,24 +245,24 @@ def _to_hubs(rows: DataFrame, least: float) -> DataFrame:
     return asked.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
-def _by_rare_runs(groups: DataFrame, runs: DataFrame, links: DataFrame, least: float) -> DataFrame:
-    """(u, v): the pairs of nodes of ``groups`` (g, node) not in one class by ``links`` that share a run among the rarest of
-    both, so all of them that can link. Runs are ordered by COUNTERS counts that runs of one low part share: any order that is
+def _by_rare_words(groups: DataFrame, texts: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """(u, v): the pairs of nodes of ``groups`` (g, node) not in one class by ``links`` that share a word among the rarest of
+    both, so all of them that can link. Words are ordered by COUNTERS counts that words of one low part share: any order that is
     the same for all nodes finds all pairs, so only the work depends on them."""
     placed = groups.select("g", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("g")
     mixed = bounded_broadcast(cut(mixed, "mixed-groups"))
     nodes = placed.join(mixed, "g", "left_semi").select("node", "root").distinct()
-    own = cut(nodes.join(runs, "node").select("node", "root", "runs"), "mixed")
-    counts = own.select("runs").mapInArrow(_counted, _COUNTS).repartition("block").mapInArrow(_summed, _COUNTS)
+    own = cut(nodes.join(texts, "node").select("node", "root", "words"), "mixed")
+    counts = own.select("words").mapInArrow(_counted, _COUNTS).repartition("block").mapInArrow(_summed, _COUNTS)
     often = np.zeros(COUNTERS, np.int64)
     _add(often, counts.toArrow())  # COUNTERS / BLOCK rows at most
-    shared = runs.sparkSession.sparkContext.broadcast(often)
-    first = cut(own.mapInArrow(lambda it: _rarest(it, shared.value, least), "run int, node binary, root binary, n long, at long"), "rare")
-    x, y = (first.select("run", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k in "uv")
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+    first = cut(own.mapInArrow(lambda it: _rarest(it, shared.value, least), "word int, node binary, root binary, n long, at long"), "rare")
+    x, y = (first.select("word", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k in "uv")
     need = least / (1 + least) * (F.col("nu") + F.col("nv")) - 1e-6
     able = (F.col("atu") <= F.col("nu") - need) & (F.col("atv") <= F.col("nv") - need)
-    return x.join(y, "run").filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & able).select("u", "v").distinct()
+    return x.join(y, "word").filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & able).select("u", "v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,7 +290,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row per row of ``docs``: ``doc_id, class_id`` (the least id of its class), ``class_size`` (rows), ``n_links`` (verified
     links of its text to other texts) and ``kept`` (one row of each class: of those with the least id, or of all if no id is
     known, the first)."""
-    return _row_classes(docs, F.monotonically_increasing_id(), id_col, text_col, least).drop(ROW)
+    with temporary(docs.sparkSession):
+        classes = _row_classes(docs, F.monotonically_increasing_id(), id_col, text_col, least).drop(ROW)
+        return cut(classes, "classes", outer=True)
 
 
 def _row_classes(docs: DataFrame, row: Column, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
@@ -264,8 +300,8 @@ def _row_classes(docs: DataFrame, row: Column, id_col: str, text_col: str, least
     spark: SparkSession = docs.sparkSession
     prepare_workers(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    given = docs.select(row.alias(ROW), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(given.mapInArrow(_sketched, f"{ROW} long, doc_id long, node binary, n long, sketch array<long>"), "sketches")
+    given = docs.select(row.cast(ROW_TYPE).alias(ROW), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = cut(given.mapInArrow(_sketched, f"{ROW} {ROW_TYPE}, doc_id long, node binary, n long, sketch array<long>"), "sketches")
     members = rows.select(ROW, "doc_id", "node")
     nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW)).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
@@ -273,17 +309,20 @@ def _row_classes(docs: DataFrame, row: Column, id_col: str, text_col: str, least
     small, large = _grouped(keyed, ["i", "a"])
     pairs = cut(_pairs_within(small, ["i", "a"], least), "pairs")
 
-    # the word runs of the nodes that have candidates
+    # the words of the nodes that have candidates
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(large.select("node")).distinct()
     ids = cut(nodes.join(wanted, "node", "left_semi").select(key(F.col("rep")).alias("k")).distinct(), "ids")
-    runs = cut(texts.join(bounded_broadcast(ids), key(texts["doc_id"]) == ids["k"], "left_semi").select("text").mapInArrow(_with_runs, "node binary, runs binary").filter("node is not null").groupBy("node").agg(F.first("runs").alias("runs")), "runs")
+    own = texts.join(bounded_broadcast(ids), key(texts["doc_id"]) == ids["k"], "left_semi").select("text")
+    own = own.mapInArrow(_with_words, "node binary, words binary").filter("node is not null")
+    own = cut(own.groupBy("node").agg(F.first("words").alias("words")), "words")
 
-    links = cut(_links(pairs, runs, least).filter("sim > 0").select("u", "v"), "links")
+    links = cut(_links(pairs, own, least).filter("sim > 0").select("u", "v"), "links")
     if large.take(1):
         groups = large.withColumn("g", F.xxhash64("i", "a"))
-        links = cut(links.unionByName(_links(_to_hubs(groups, least), runs, least).filter("sim > 0").select("u", "v")).distinct(), "links")
-        links = links.unionByName(_links(_by_rare_runs(groups, runs, links, least), runs, least).filter("sim > 0").select("u", "v"))
-        links = cut(links.distinct(), "links")
+        hubs = cut(_to_hubs(groups, least), "hub-pairs")
+        links = cut(links.unionByName(_links(hubs, own, least).filter("sim > 0").select("u", "v")).distinct(), "links")
+        rare = cut(_by_rare_words(groups, own, links, least), "rare-pairs")
+        links = cut(links.unionByName(_links(rare, own, least).filter("sim > 0").select("u", "v")).distinct(), "links")
 
     roots = components(links)
     degree = links.select("u", "v").distinct().select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -297,4 +336,6 @@ def _row_classes(docs: DataFrame, row: Column, id_col: str, text_col: str, least
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class; all columns stay."""
     docs = numbered(docs)
-    return without(docs, cut(_row_classes(docs, F.col(ROW), id_col, text_col).filter("not kept").select(ROW), "gone"))
+    with temporary(docs.sparkSession):
+        gone = cut(_row_classes(docs, F.col(ROW), id_col, text_col).filter("not kept").select(ROW), "gone", outer=True)
+    return without(docs, gone)
