@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 #: Stands for a null id in join keys, which never match on null.
 NULL_ID = -(2**63)
 #: Rows and bytes of one Arrow batch; a batch ends with the row that reaches either.
-ARROW_ROWS, ARROW_BYTES = 512, 4_000_000
+ARROW_ROWS, ARROW_BYTES = 512, 2_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,13 +39,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/lakeloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends here and survives lost executors."""
+_scopes: list[list[str]] = []
+
+
+def cut(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: the lineage ends here and survives lost executors. Within ``temporary``
+    the table goes when that ends; ``outer`` leaves it to what is around."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if len(_scopes) > outer:
+        _scopes[-1 - outer].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut`` writes within are deleted at the end: what is used later must be stored with ``outer``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for name in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prepare_workers(spark: SparkSession) -> None:
     """Ship this package to the executors once, and keep the Arrow batches that reach Python workers small, whatever the
     lengths of the texts. Plans run after their operator has returned, so the session keeps both settings."""
@@ -91,13 +110,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A number of each row, unlike an id never null and never repeated.
-ROW = "__row"
+#: A number of each row, unlike an id never null and never repeated, and its type.
+ROW, ROW_TYPE = "__row", "decimal(38,0)"
+
+
+def scanned(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a table of files read as it is, so that file and place in it tell rows apart."""
+    plan = docs._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and bool(docs.inputFiles()) and "_metadata" not in docs.columns
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs``, stored, with the column ROW."""
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """``docs`` with the column ROW: a hash of the file, and the place in it. So a table is numbered without a copy, and alike in all
+    passes, whatever tasks read it; only rows that come from elsewhere are stored first, as are those of two files of one hash."""
+    file = F.xxhash64(F.col("_metadata.file_path"))
+    if scanned(docs):
+        files = docs.select(F.col("_metadata.file_path").alias("f"), file.alias("h")).distinct().agg(F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("m")).first()
+    if not scanned(docs) or files["n"] != files["m"]:
+        return cut(docs.withColumn(ROW, F.monotonically_increasing_id().cast(ROW_TYPE)), "rows", outer=True)
+    place = file.cast("decimal(20,0)") * F.lit(2**40).cast("decimal(13,0)") + F.col("_metadata.row_index").cast("decimal(13,0)")
+    return docs.withColumn(ROW, place.cast(ROW_TYPE))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -110,7 +142,7 @@ def key(col) -> F.Column:
     return F.coalesce(col.cast("long"), F.lit(NULL_ID))
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one, its first row aside, have at most ``most`` bytes."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))

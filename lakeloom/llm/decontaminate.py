@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import ROW, by_bytes, cut, numbered, prepare_workers, task, texts_of, without
+from lakeloom.llm.common import ROW, ROW_TYPE, by_bytes, cut, numbered, prepare_workers, task, temporary, texts_of, without
 from lakeloom.llm.tokens import mix, words
 
 #: Word positions that count, of a window; all of weight five.
@@ -41,7 +41,7 @@ BLOCK_CHARS = 4_000_000
 PAIRS = 1_000_000
 #: Words that an aligned item may be shifted by insertions and deletions.
 SLACK = 8
-SCHEMA = "doc_id long, contaminated boolean, item_ids array<long>, matched_words long, identity double"
+SCHEMA = "contaminated boolean, item_ids array<long>, matched_words long, identity double"
 
 
 def _seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -158,12 +158,12 @@ class TestSet:
 
 @task
 def _judge(tests: TestSet, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.int64())), ("matched_words", pa.int64()), ("identity", pa.float64())])
+    types = pa.schema([("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.int64())), ("matched_words", pa.int64()), ("identity", pa.float64())])
     for batch in by_bytes(batches, "text"):
         doc_words, doc_first = words(texts_of(batch, "text"))
         hits = tests.hits(doc_words, doc_first)
         rows = []
-        for d, doc_id in enumerate(batch.column(0).to_pylist()):
+        for d in range(batch.num_rows):
             found: dict[int, tuple[int, float]] = {}
             if d in hits:
                 doc = doc_words[doc_first[d] : doc_first[d + 1]]
@@ -171,8 +171,9 @@ def _judge(tests: TestSet, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                     found[item] = max(found.get(item, (0, 0.0)), tests.overlap(doc, item, shift))
             kept = {i: x for i, x in found.items() if x[0] and len(tests.words[tests.first[i] : tests.first[i + 1]]) >= LEAST_WORDS}
             most = max(kept.values(), default=(0, 0.0))
-            rows.append((doc_id, bool(kept), sorted({tests.ids[i] for i in kept if tests.ids[i] is not None}), most[0], most[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
+            rows.append((bool(kept), sorted({tests.ids[i] for i in kept if tests.ids[i] is not None}), most[0], most[1]))
+        found_ = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *found_], names=["doc_id", *types.names])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -180,24 +181,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``identity`` of its longest overlap."""
     spark = docs.sparkSession
     prepare_workers(spark)
-    texts = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = ROW_TYPE if id_col == ROW else "long"
+    texts = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).distinct()
     blocks = _blocks(((r["i"], r["t"]) for r in items.toLocalIterator()), block_chars)
     first, second = next(blocks), next(blocks, None)
-    judged = lambda rows, tests: rows.select(ROW, "text").mapInArrow(lambda it: _judge(tests.value, it), SCHEMA)
     if second is None:  # nothing to bring together
-        return texts.select(F.col("doc_id").alias(ROW), "text").mapInArrow(lambda it, tests=spark.sparkContext.broadcast(TestSet(first)): _judge(tests.value, it), SCHEMA)
-    texts = cut(texts, "texts")  # a row has one number in all passes
-    found = None
-    for block in itertools.chain((first, second), blocks):
-        tests = spark.sparkContext.broadcast(TestSet(block))
-        part = cut(judged(texts, tests).filter("contaminated").withColumnRenamed("doc_id", ROW), "found")
-        tests.destroy()
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy(ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max(F.struct("matched_words", "identity")).alias("m"))
-    none = F.array().cast("array<long>")
-    out = texts.select(ROW, "doc_id").join(merged, ROW, "left")
-    return out.select("doc_id", F.col("m").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("m.matched_words", F.lit(0)).cast("long").alias("matched_words"), F.coalesce("m.identity", F.lit(0.0)).alias("identity"))
+        tests = spark.sparkContext.broadcast(TestSet(first))
+        return texts.mapInArrow(lambda it: _judge(tests.value, it), f"doc_id {kind}, {SCHEMA}")
+    with temporary(spark):
+        texts = cut(texts.withColumn(ROW, F.monotonically_increasing_id()), "texts")  # a row has one number in all passes
+        found = None
+        for block in itertools.chain((first, second), blocks):
+            tests = spark.sparkContext.broadcast(TestSet(block))
+            part = texts.select(ROW, "text").mapInArrow(lambda it, tests=tests: _judge(tests.value, it), f"doc_id long, {SCHEMA}")
+            part = cut(part.filter("contaminated").withColumnRenamed("doc_id", ROW), "found")
+            tests.destroy()
+            found = part if found is None else found.unionByName(part)
+        merged = found.groupBy(ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max(F.struct("matched_words", "identity")).alias("m"))
+        none = F.array().cast("array<long>")
+        out = texts.select(ROW, "doc_id").join(merged, ROW, "left")
+        out = out.select("doc_id", F.col("m").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("m.matched_words", F.lit(0)).cast("long").alias("matched_words"), F.coalesce("m.identity", F.lit(0.0)).alias("identity"))
+        return cut(out, "decontaminate", outer=True)
 
 
 def _blocks(items: Iterator[tuple], chars: int) -> Iterator[list[tuple]]:

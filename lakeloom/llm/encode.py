@@ -20,8 +20,8 @@ from tokenizers import Tokenizer
 
 from lakeloom.llm.common import held
 
-#: Bytes of memory that a worker's table of pieces may take; it holds those of the last TABLE_BYTES / 2 or more.
-TABLE_BYTES = 160_000_000
+#: Bytes of memory that a worker's table of pieces may take, unless the operator says otherwise; it holds those of the last half or more.
+TABLE_BYTES = 80_000_000
 #: What an entry takes besides its texts: two objects and a place in a dictionary.
 _ENTRY = 180
 #: The longest piece that is remembered.
@@ -76,7 +76,7 @@ class _Table(dict):
 class Encoder:
     """``batch(texts)``: their ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, table_bytes: int = TABLE_BYTES):
         if kind not in ("word", "byte"):
             raise ValueError(f"kind is {kind!r}; it must be 'word' or 'byte'")
         self.tokenizer = Tokenizer.from_file(path)
@@ -87,9 +87,9 @@ class Encoder:
         self.model = self.tokenizer.model
         line_end = self.whole("\n") if kind == "byte" else b""
         # most pieces follow a blank or, marked by \0, a line end; ``plain`` has those that stand for themselves
-        self.known = _Table((lambda p: line_end + self._piece(p[1:]) if p[0] == "\0" else self._after_blank(p)) if kind == "byte" else self._piece, TABLE_BYTES)
-        self.plain = _Table(self._piece, TABLE_BYTES // 16)
-        self.marks = _Table(self._core, TABLE_BYTES // 16)
+        self.known = _Table((lambda p: line_end + self._piece(p[1:]) if p[0] == "\0" else self._after_blank(p)) if kind == "byte" else self._piece, table_bytes)
+        self.plain = _Table(self._piece, table_bytes // 16)
+        self.marks = _Table(self._core, table_bytes // 16)
 
     def width(self) -> int:
         """Bytes that hold any id of the vocabulary: 2 or 4."""
@@ -145,6 +145,6 @@ class Encoder:
         return out
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, table_bytes: int = TABLE_BYTES) -> Encoder:
     """The worker's own encoder of a vocabulary file."""
-    return held((path, kind), lambda: Encoder(path, kind))
+    return held((path, kind, table_bytes), lambda: Encoder(path, kind, table_bytes))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import ROW, by_bytes, cut, numbered, prepare_workers, task, texts_of, without
+from lakeloom.llm.common import ROW, ROW_TYPE, by_bytes, cut, numbered, prepare_workers, task, texts_of, without
 
 BINS = 1 << 16
 SAMPLE = 3000
@@ -34,7 +34,7 @@ MODEL_BYTES = 256_000_000
 #: after ROUNDS, which proportions that creep on reach.
 PENALTY, SHARE, STILL, ROUNDS = 8.0, 0.03, 1e-3, 200
 #: Characters of a part of a text, and cells of words and languages held at once.
-PART_CHARS, CELLS = 200_000, 4_000_000
+PART_CHARS, CELLS = 200_000, 1_000_000
 _SMOOTH = 0.5
 #: UTF-8 bytes to 7 bits: 0 for what isn't a letter.
 _CODE = np.zeros(256, np.int64)
@@ -254,8 +254,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     prepare_workers(spark)
     shared = spark.sparkContext.broadcast(model)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = texts.mapInArrow(lambda it: _predicted(shared.value, it), "doc_id long, lang_pred string, score double, proportions map<string,double>")
+    kind = ROW_TYPE if id_col == ROW else "long"
+    texts = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = texts.mapInArrow(lambda it: _predicted(shared.value, it), f"doc_id {kind}, lang_pred string, score double, proportions map<string,double>")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "proportions")
 

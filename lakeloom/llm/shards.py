@@ -39,6 +39,8 @@ SHARD_IDS = 1_000_000
 RANGE_CHARS = 32_000_000
 END_ID = 1
 BLOCK_BITS = 512
+#: Bytes of a worker's table of pieces.
+TABLE_BYTES = 160_000_000
 _FOOTER = struct.Struct("<8s7q")
 FOOTER, MAGIC = _FOOTER.size, b"LOOMIDX3"
 _ROW = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("block", pa.int64()), ("value", pa.binary())])
@@ -133,7 +135,7 @@ def _written(path: str, kind: str, end_id: int, shard_ids: int, batches: Iterato
     from pyspark import TaskContext
 
     part, block, keys, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
-    enc = encoder(path, kind)
+    enc = encoder(path, kind, TABLE_BYTES)
     width = enc.width() if end_id < 1 << 16 else 4
     end = np.array([end_id], f"<u{width}").tobytes()
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import chat, decontaminate, exact_dedup, language, near_dedup, packing, pii, shards, urls, wordpiece
 from lakeloom.llm.encode import Encoder
-from lakeloom.llm.tokens import labelled, shingles, words
+from lakeloom.llm.tokens import words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, size long"
@@ -125,12 +125,51 @@ def test_pii_distinct(spark):
     found = values.select(F.lit("ip").alias("kind"), "value", F.lit(1).alias("rows"))
     assert found.select(pii.surrogate(F.col("value"), F.col("kind"), "k", F.lit(0)).alias("s")).distinct().count() == 3000
     small = spark.createDataFrame([(str(i),) for i in range(10)], "value string").select(F.lit("secret").alias("kind"), "value", F.lit(1).alias("rows"))
-    done = pii.exceptions(small.filter("value < '6'"), "k")  # of one digit: surrogates meet real values
+    done = pii.exceptions(small.filter("value < '6'"), "k", attempts=60)  # of one digit: surrogates meet real values
     first = {r["value"]: r["s"] for r in small.filter("value < '6'").select("value", pii.surrogate(F.col("value"), F.col("kind"), "k", F.lit(0)).alias("s")).collect()}
     final = first | {r["value"]: r["surrogate"] for r in done.collect()}
     assert len(set(final.values())) == 6 and not set(final.values()) & set(final)
 
 
+def test_pii_full_formats_end(spark):
+    digits = spark.createDataFrame([(str(i),) for i in range(10)], "value string").select(F.lit("ssn").alias("kind"), "value", F.lit(1).alias("rows"))
+    done = {r["value"]: r["surrogate"] for r in pii.exceptions(digits, "k").collect()}
+    first = {r["value"]: r["s"] for r in digits.select("value", pii.surrogate(F.col("value"), F.col("kind"), "k", F.lit(0)).alias("s")).collect()}
+    assert sorted((first | done).values()) == sorted(first)  # no text is free, so all are exchanged
+
+
+def test_pii_people(spark):
+    texts = ["Mrs Anna Schmidt came. Anna left; Frau Schmidt stayed, and Schmidt's dog. Schmidts do.", "Anna Schmidt and Maria Garcia", "Schmidt alone is no name here, nor is Anna", "Dmitri Ivanov and Svetlana Ivanova; Boris Ivanov", "my name is Zora Quill. Quill again", "Call 555-123-4567 or 020 7946 0958, not 12345678901234", "Иван Петров и Анна Петрова", "talk to Elsa Lindstein about Apache License", "Anna Müller, Dr. Müller", "Κ. Mr Παπας"]
+    got = [r["text"] for r in sorted(pii.replace_entities(odd(spark, list(enumerate(texts))), "k9").collect(), key=lambda r: r["doc_id"])]
+    given, surname = re.match(r"Mrs (\w+) (\w+) came", got[0]).groups()
+    assert got[0] == f"Mrs {given} {surname} came. {given} left; Frau {surname} stayed, and {surname}'s dog. Schmidts do." and given in pii.FEMALE and "Schmidt" not in surname
+    assert got[1].startswith(f"{given} {surname} and ") and got[1].split()[3] in pii.FEMALE and "Garcia" not in got[1]
+    assert got[2] == texts[2]
+    man, a, woman, b, other, c = re.match(r"(\w+) (\w+) and (\w+) (\w+); (\w+) (\w+)", got[3]).groups()
+    assert {man, other} < set(pii.MALE) and woman in pii.FEMALE and a == c and a.endswith("ov") and b == a + "a" and a != "Ivanov"
+    x = got[4].split()
+    assert x[:3] == ["my", "name", "is"] and x[4].rstrip(".") == x[5] != "Quill" and "Zora" not in got[4]
+    assert re.fullmatch(r"Call \d{3}-\d{3}-\d{4} or \d{3} \d{4} \d{4}, not 12345678901234", got[5]) and "555-123" not in got[5] and "7946" not in got[5]
+    assert got[6].split()[0] in pii.MALE_CYRILLIC and got[6].split()[3] in pii.FEMALE_CYRILLIC and re.fullmatch(r"\S+ (\S+) и \S+ \1а", got[6])
+    assert "Lindstein" not in got[7] and got[7].endswith(" about Apache License")
+    assert got[8].split()[1].rstrip(",") == got[8].split()[-1] != "Müller"
+
+
+def test_pii_against_brute_force(spark):
+    """Entities replaced one by one by a plain search, with each entity's own surrogate."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    found = {r["value"]: r["s"] for r in pii.entities(docs).select("value", "kind", pii.surrogate(F.col("value"), F.col("kind"), "b", F.lit(0)).alias("s")).collect()}
+    found |= {r["value"]: r["surrogate"] for r in pii.exceptions(pii.entities(docs), "b").collect()}
+    assert len(found) > 15 and len(set(found.values())) == len(found) and not set(found) & set(found.values())
+    got = {r["doc_id"]: r for r in pii.replace_entities(docs, "b").collect()}
+    for r in docs.collect():
+        text, new = r["text"], got[r["doc_id"]]["text"]
+        for v in sorted((v for v in found if v in text and not re.search(r"[A-Z][a-z]+$", v)), key=len, reverse=True):
+            text = re.sub(rf"(?<![\w.%+-]){re.escape(v)}(?![\w-])", lambda m, v=v: found[v], text)
+        if "name" not in got[r["doc_id"]]["kinds"]:
+            assert text == new
+
+
 def test_pii_hex_secrets(spark):
     low = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(20)]
     long = hashlib.sha512(b"key").hexdigest()
@@ -172,7 +211,7 @@ def test_chat(spark):
     rows = [(c, i, r, f"t{i}", "x") for c, roles in enumerate(convs) for i, r in enumerate(roles)] + [(None, None, None, None, "x")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, piece string")
     whole = chat.repair_conversations(table)
-    split = chat.repair_conversations(table, segment=2)
+    split = chat.repair_conversations(table, segment=2, ranges=7)
     cost = lambda d: {r["conv_id"]: r["c"] for r in d.groupBy("conv_id").agg(F.sum("cost").alias("c")).collect()}
     got = cost(whole)
     assert whole.count() == split.count() == len(rows) and got == cost(split)
@@ -181,6 +220,26 @@ def test_chat(spark):
         roles = re.findall(r"<\|im_start\|>(\w+)\n", r["text"])
         assert r["text"].endswith("<|im_end|>\n") and roles[-1] == "assistant" and all(b in chat.FOLLOWS[a] for a, b in zip(["start", *roles], roles, strict=False))
     assert chat.repair_conversations(table.filter("false")).count() == 0
+    for r in whole.select("conv_id", "role_in", "role", "action").collect():
+        assert r["role_in"] is None or r["role_in"] in pool
+
+
+def test_chat_hot_turns(spark):
+    """One conversation whose turns have no number, and one of a single number, in several segments and tasks."""
+    rows = [(1, None, ["user", " Assistant", "bot"][i % 3], f"text {i % 50}", "x") for i in range(900)] + [(2, 5, "user", "same", "x")] * 400
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, piece string").repartition(3)
+    got = chat.repair_conversations(table, segment=50, ranges=4)
+    sizes = got.groupBy("conv_id", "segment").count().collect()
+    assert len(sizes) >= 26 and max(r["count"] for r in sizes) <= 50 and len({r["segment"] >> 32 for r in sizes}) >= 3
+    costs = {r["conv_id"]: r["c"] for r in got.groupBy("conv_id").agg(F.sum("cost").alias("c")).collect()}
+    for c in (1, 2):
+        mine = got.filter(f"conv_id = {c}").orderBy("begin").collect()
+        roles = [r["role_in"].strip().lower() for r in sorted(mine, key=lambda r: (r["segment"], r["at"]))]
+        assert costs[c] == brute_repair(roles)
+        text = "".join(r["piece"] for r in mine)
+        assert [r["begin"] for r in mine] == np.cumsum([0, *(len(r["piece"]) for r in mine)])[:-1].tolist()
+        assert text == chat.rendered(got).filter(f"conv_id = {c}").first()["text"] and text.startswith("<|im_start|>") and text.endswith("<|im_end|>\n")
+    assert {r["role_in"] for r in got.filter("conv_id = 1").collect()} == {"user", " Assistant", "bot"}
 
 
 def test_language(spark):
@@ -241,7 +300,7 @@ def test_mixture_against_brute_force():
 
 
 def test_exact_dedup(spark, docs):
-    for options in ({}, {"digest_digits": 1}, {"files_per_batch": 1}):
+    for options in ({}, {"digest_digits": 1}, {"batch_bytes": 1}):
         got = {r["doc_id"]: r for r in exact_dedup.exact_groups(docs.repartition(3), **options).collect()}
         groups: dict[str, list] = {}
         for r in docs.collect():
@@ -254,6 +313,32 @@ def test_exact_dedup(spark, docs):
     kept = exact_dedup.drop_copies(odd(spark))
     assert kept.columns == odd(spark).columns and kept.count() == 7
     assert exact_dedup.exact_groups(odd(spark, [])).count() == 0
+    # null ids and repeated ids of other texts: one row of each text stays, whatever its id
+    rows = [(None, "a b"), (None, "c"), (None, "ab"), (7, "x"), (7, "y"), (7, "x"), (8, "y  ")]
+    kept = exact_dedup.drop_copies(odd(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(None, "a b"), (None, "c"), (7, "x"), (8, "y  ")]))
+
+
+def test_exact_dedup_goes_on(spark, tmp_path):
+    """Additions one after another, each by a new object over the folder, give what all documents at once give."""
+    parts = [[(1, "a b"), (2, "c")], [(3, "ab"), (4, "d"), (5, "c  ")], [(6, "a  b"), (7, None), (8, " ")]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    table = lambda i: exact_dedup.located(spark.read.parquet(f"file://{tmp_path}/in/{i}"))
+    folder = f"file://{tmp_path}/dedup"
+    for i in range(3):
+        exact_dedup.Deduplicator(spark, folder).add(table(i))
+        exact_dedup.Deduplicator(spark, folder).add(table(i))  # a second time changes nothing
+    got = exact_dedup.Deduplicator(spark, folder).groups().drop("file", "at").collect()
+    want = exact_dedup.exact_groups(spark.createDataFrame([r for p in parts for r in p], "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 8
+    # an addition that a crash cut short before its check is completed by the next
+    short = exact_dedup.Deduplicator(spark, f"file://{tmp_path}/short", digest_digits=1)
+    checked, short._check = short._check, lambda *a: None
+    short.add(table(1))
+    short._check = checked
+    short.add(table(1))
+    assert {r["doc_id"]: r["group_size"] for r in short.groups().collect()} == {3: 1, 4: 1, 5: 1} and len(short._waves("checked")) == 2
 
 
 def test_encoder():
@@ -362,8 +447,7 @@ def test_near_dedup(spark):
         texts.append(" ".join(w))
     rows = [(1000 + i, t) for i, t in enumerate(texts)]
     own, first = words([t for _, t in rows])
-    s, sf = shingles(own, first, 5)
-    runs = [labelled(s, sf).astype(np.uint32)[a:b] for a, b in zip(sf[:-1], sf[1:], strict=True)]
+    runs = [own.astype(np.uint32)[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     root = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
@@ -379,6 +463,53 @@ def test_near_dedup(spark):
     assert near_dedup.near_classes(odd(spark, [])).count() == 0
 
 
+def _common(a, b):
+    """The longest common subsequence by the plain dynamic programme."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            row[j + 1], before = (before + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
+    return row[-1]
+
+
+def test_alignment_against_brute_force():
+    rng = np.random.default_rng(9)
+    found = 0
+    for _ in range(400):
+        a = rng.integers(0, 12, rng.integers(1, 60)).astype(np.uint32)
+        b = list(a)
+        for _ in range(int(rng.integers(0, 8))):
+            at, kind = int(rng.integers(len(b) + 1)), int(rng.integers(3))
+            b[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(12))]
+        b = np.array(b, np.uint32)
+        common = _common(a.tolist(), b.tolist())
+        sim = common / max(1, len(a) + len(b) - common)
+        got = near_dedup.aligned(a, b)
+        assert got == (pytest.approx(sim) if sim >= 0.8 - 1e-9 else 0.0)
+        found += got > 0
+    assert found > 100
+
+
+def test_near_copies_are_found(spark):
+    """Of pairs at or above the similarity, those whose texts the sketches bring together: at least nine in ten, and all others apart."""
+    rng = np.random.default_rng(12)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows, pairs = [], []
+    for k in range(300):
+        ws = list(rng.choice(vocab, int(rng.integers(40, 200))))
+        other = list(ws)
+        for at in rng.choice(len(ws), max(1, int(len(ws) * rng.uniform(0.01, 0.1))), replace=False):
+            other[at] = str(rng.choice(vocab))
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
+        pairs.append(near_dedup.aligned(*(np.array([vocab.index(w) for w in x], np.uint32) for x in (ws, other))) > 0)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(odd(spark, rows)).collect()}
+    linked = [got[2 * k] == got[2 * k + 1] for k in range(300)]
+    assert sum(pairs) > 250 and all(p for p, x in zip(pairs, linked, strict=True) if x)
+    assert sum(linked) >= 0.95 * sum(pairs)
+    assert len({c for c in got.values()}) == 600 - sum(linked)
+
+
 def test_wordpiece(spark, docs):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -407,6 +538,24 @@ def test_urls(spark):
     assert [g[3] for g in got[:5]] == ["block", "allow", "block", "allow", "block"]
     assert got[4][:2] == ("cheappills.example.org", "/buy") and got[5][:2] == got[6][:2] == ("", "") and got[8][:2] == ("a.net", "")
     assert urls.Segmenter({"cheap": 5, "pills": 5, "a": 9}).split("cheappills") == ("cheap", "pills")
+    assert urls.judge_urls(pages.filter("false")).count() == 0
+
+
+def test_segmenter_against_brute_force():
+    rng = np.random.default_rng(11)
+    for _ in range(150):
+        counts = {"".join(rng.choice(list("abc"), rng.integers(1, 5))): int(rng.integers(1, 50)) for _ in range(6)}
+        s, name = urls.Segmenter(counts), "".join(rng.choice(list("abcd"), 9))
+        cost = lambda ws, s=s: sum(s.cost.get(w, s.word + len(w) * s.letter) for w in ws)
+        all_ = ([name[a:b] for a, b in zip([0, *at], [*at, 9], strict=True)] for m in range(256) for at in [[i + 1 for i in range(8) if m >> i & 1]])
+        assert cost(s.split(name)) == pytest.approx(min(map(cost, all_)))
+
+
+def test_urls_long_words_and_hosts(spark):
+    long = "qz" * 20
+    rows = [(1, f"http://{long}garden.example.org/", f"<p>{f'{long} garden ' * 3}</p>"), (2, f"http://{'abcdefghij' * 3000}.example.org/{'x' * 20000}", None)]
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1]["words"] == [long, "garden"] and "".join(got[2]["words"]) == "abcdefghij" * 3000 + "/" + "x" * 20000
 
 
 def test_urls_all_words(spark):
