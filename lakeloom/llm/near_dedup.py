@@ -1,20 +1,20 @@
-"""Near-duplicates by Order MinHash over runs of five words, verified by banded alignment of the words.
+"""Near-duplicates by Order MinHash over runs of five words, verified by banded alignment of runs and words.
 
 Of every document the occurrence-labelled runs of five words are hashed under ``SKETCHES`` permutations. A sketch is the ``ROWS`` runs
 with least hashes, kept in text order, so documents agree in it only if they share these runs in the same order.
 
 Copies (same words) are first collapsed to one node. Nodes that agree in a sketch are candidates. In groups of up to
 ``SMALL`` nodes all pairs are taken. In larger groups each member is compared with the most central one. The groups whose
-members are then still in different classes are finished exactly, by their rare words: with the occurrence-labelled words of each
-node in one order, the rarest first, two nodes can only link if they share a word among the first of both (as many as a link
-leaves unaligned, and one). So nodes are joined on these words, and pairs of one class are left out. Words of passages that many
-documents share are not among their rarest, so work grows with the documents and not with the square of a group's size.
+members are then still in different classes are finished exactly, by what is rare in them: with the occurrence-labelled runs of each
+node in one order, the rarest first, two nodes can only link by their runs if they share one among the first of both (as many as a
+link leaves unaligned, and one), and likewise by their words. So nodes are joined on these, and pairs of one class are left out.
+Passages that many documents share are not among their rarest runs, so work grows with the documents and not with the square of a
+group's size.
 
-A candidate pair is a link if the longest common subsequence of its words, with no two aligned words further apart than a link allows,
-makes up ``SIMILARITY`` of all words of both (common / (n + m - common)): about one word in nine may be replaced, left out or
-added. Five-word runs with one of these words changed all differ, so the runs of such a pair agree in 0.38 or more; ``SKETCHES`` and
-``ROWS`` are chosen to find nine of ten of the least similar of these, and nearly all others. Classes are the connected
-components of the links.
+A candidate pair is a link if its aligned runs of five words make up ``SIMILARITY`` of all runs of both (common / (n + m - common)), or
+its aligned words ``WORD_SIMILARITY`` of all words. The first holds for copies that lost or gained a passage; the second for
+copies with words changed here and there, each of which alters five runs. Alignments keep the order, and aligned places are no
+further apart than a link allows. Classes are the connected components of the links.
 
 Defined results: texts without a word (null, empty, punctuation) are alone in their class; a text of one to four words has one
 run of all its words; repeated rows share a class; rows with null id count as copies like others; other columns stay out.
@@ -23,6 +23,7 @@ run of all its words; repeated rows share a class; rows with null id count as co
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +34,14 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import ROW, ROW_TYPE, bounded_broadcast, by_bytes, cut, key, numbered, prepare_workers, task, temporary, texts_of, without
 from lakeloom.llm.tokens import labelled, mix, shingles, words
 
-RUN, SIMILARITY = 5, 0.8
-SKETCHES, ROWS = 20, 2
+RUN, SIMILARITY, WORD_SIMILARITY = 5, 0.8, 0.9
+#: Pairs that link agree in 0.6 of their runs or more, unless they are short: a sketch of three agrees in one of five.
+SKETCHES, ROWS = 24, 3
 SMALL = 32
 #: Pairs of one node that are verified in one task; those of a node with more are dealt to several.
 SALT_ROWS = 250
-#: Counts of words, kept in every worker (8 MB), whatever the size of the input.
-COUNTERS, BLOCK = 1 << 20, 1 << 12
+#: Levels of counts of runs, kept in every worker (16 MB), whatever the size of the input.
+COUNTERS, BLOCK = 1 << 24, 1 << 12
 _SEEDS = [np.uint64(int.from_bytes(hashlib.blake2b(b"order-minhash %d" % i, digest_size=8).digest(), "little")) for i in range(SKETCHES)]
 _TOP = np.uint64(2**64 - 1)
 
@@ -133,64 +135,112 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return common / (n + m - common) if common >= need else 0.0
 
 
+def aligned_runs(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Aligned labelled runs in common over all runs of both, or 0.0 if under ``least``. Runs of one text are distinct, so the alignment is
+    the longest increasing chain of matched places."""
+    n, m = len(a), len(b)
+    if not n or not m or min(n, m) < least * max(n, m):
+        return 0.0
+    need = needed(n, m, least)
+    order = np.argsort(b, kind="stable")
+    place = order[np.minimum(np.searchsorted(b, a, sorter=order), m - 1)]
+    chain = place[(b[place] == a) & (np.abs(place - np.arange(n)) <= n + m - 2 * need)]
+    tails: list[int] = []
+    if len(chain) >= need:
+        for x in chain.tolist():
+            if not tails or x > tails[-1]:
+                tails.append(x)
+            else:
+                tails[bisect_left(tails, x)] = x
+    return len(tails) / (n + m - len(tails)) if tails and len(tails) >= need else 0.0
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of words of two texts that link, or 0.0. A link by runs has as many words in common, so words come first."""
+    sim = aligned(a, b, SIMILARITY)
+    if not sim or sim >= WORD_SIMILARITY - 1e-9:
+        return sim
+    ra, rb = (_labelled(*shingles(x.astype(np.uint64), np.array([0, len(x)]), RUN)) for x in (a, b))
+    return sim if aligned_runs(ra, rb) else 0.0
+
+
 def _flat(col: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     """The words of all rows of ``col`` one after another, and where each row's begin and end."""
     ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     return np.frombuffer(col.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32), (ends - ends[0]) // 4
 
 
+#: What pairs may link by: runs of so many words, and the similarity that they need in these.
+KINDS = ((RUN, SIMILARITY), (1, WORD_SIMILARITY))
+
+
 def _labelled(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Words that differ by occurrence within their text, 32 bits each."""
     return labelled(flat.astype(np.uint64), ends).astype(np.uint32)
 
 
-def _blocks(held: np.ndarray) -> pa.RecordBatch:
-    """The counters above 0, a row for each BLOCK of them: its number, the counters and their counts."""
-    at = np.flatnonzero(held)
-    edge = np.searchsorted(at, np.arange(0, COUNTERS + 1, BLOCK)).tolist()
-    full = [(i, at[a:b]) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
-    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in full], pa.int32()), pa.array([x.astype("<u4").tobytes() for _, x in full], pa.binary()), pa.array([held[x].tobytes() for _, x in full], pa.binary())], names=["block", "counters", "counts"])
-
+def _features(k: int, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled runs of k words of texts of words, and where each text's begin and end."""
+    runs, first = shingles(flat.astype(np.uint64) + np.uint64(k << 32), ends, k)
+    return _labelled(runs, first), first
 
-def _add(held: np.ndarray, batch: pa.RecordBatch | pa.Table) -> None:
-    for of, n in zip(batch.column("counters").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-        held[np.frombuffer(of, "<u4")] += np.frombuffer(n, np.int64)
 
-
-_COUNTS = "block int, counters binary, counts binary"
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts in eight bits: exact to 15, then eight to an octave."""
+    more = 15 + np.floor(8 * np.log2(np.maximum(counts, 1) / 15 + 1e-9))
+    return np.where(counts <= 15, counts, np.clip(more, 15, 255)).astype(np.uint8)
 
 
 @task
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        held += np.bincount(_labelled(*_flat(batch.column(0))) & np.uint32(COUNTERS - 1), minlength=COUNTERS)
-    yield _blocks(held)
+    """(block, counters, counts): the counters that a task's texts reach, a row for each BLOCK of them."""
+    at, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    new: list[np.ndarray] = []
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        more, counts = np.unique(np.concatenate(new) if new else np.zeros(0, np.uint32), return_counts=True)
+        both, of = np.unique(np.concatenate([at, more]), return_inverse=True)
+        return both, np.bincount(of, np.concatenate([n, counts]), minlength=len(both)).astype(np.int64)
+
+    for batch in (part for whole in batches for part in by_bytes([whole], "words")):
+        flat, ends = _flat(batch.column(0))
+        new += [_features(k, flat, ends)[0] & np.uint32(COUNTERS - 1) for k, _ in KINDS]
+        if sum(map(len, new)) > 2_000_000:
+            at, n = summed()
+            new.clear()
+    at, n = summed()
+    edge = np.searchsorted(at, np.arange(0, COUNTERS + 1, BLOCK)).tolist()
+    full = [(i, a, b) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in full], pa.int32()), pa.array([at[a:b].astype("<u4").tobytes() for _, a, b in full], pa.binary()), pa.array([n[a:b].astype("<i8").tobytes() for _, a, b in full], pa.binary())], names=["block", "counters", "counts"])
 
 
 @task
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = np.zeros(COUNTERS, np.int64)
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, levels): the levels of a block's counts over all tasks."""
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        _add(held, batch)
-    yield _blocks(held)
+        for i, of, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            held.setdefault(i, np.zeros(BLOCK, np.int64))[np.frombuffer(of, "<u4") % BLOCK] += np.frombuffer(n, "<i8")
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([level(x).tobytes() for x in held.values()], pa.binary())], names=["block", "levels"])
 
 
 @task
-def _rarest(batches: Iterator[pa.RecordBatch], often: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+def _rarest(batches: Iterator[pa.RecordBatch], often: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in by_bytes([whole], "words")):
         flat, ends = _flat(batch.column(2))
-        word, n = _labelled(flat, ends), np.diff(ends)
-        text, c = np.repeat(np.arange(len(n)), n), often[word & np.uint32(COUNTERS - 1)]
-        order = np.lexsort((word, c, text))
-        at = np.arange(len(word)) - np.repeat(ends[:-1], n)
-        kept = (at <= np.repeat(np.floor(n * (1 - least) + 1e-6), n)) & (c[order] > 1)  # a word counted once matches none
-        of = pa.array(text[kept])
-        yield pa.RecordBatch.from_arrays([pa.array(word[order][kept].view(np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(n[text[kept]]), pa.array(at[kept])], names=["word", "node", "root", "n", "at"])
+        for k, least in KINDS:
+            value, first = _features(k, flat, ends)
+            n = np.diff(first)
+            text, c = np.repeat(np.arange(len(n)), n), often[value & np.uint32(COUNTERS - 1)]
+            order = np.lexsort((value, c, text))
+            at = np.arange(len(value)) - np.repeat(first[:-1], n)
+            kept = (at <= np.repeat(np.floor(n * (1 - least) + 1e-6), n)) & (c[order] > 1)  # what is counted once matches none
+            of = pa.array(text[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(value[order][kept].view(np.int32)), pa.array(np.full(len(of), k, np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(n[text[kept]]), pa.array(at[kept])], names=["value", "k", "node", "root", "n", "at"])
 
 
 @task
-def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in by_bytes(by_bytes([whole], "words_u"), "words_v")):
         (a, at_a), (b, at_b) = _flat(batch.column(2)), _flat(batch.column(3))
         n, m = np.diff(at_a), np.diff(at_b)
@@ -200,8 +250,8 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         both.sort()
         common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(n))
         sims = np.zeros(len(n))
-        for k in np.flatnonzero(common >= needed(n, m, least)).tolist():
-            sims[k] = aligned(a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]], least)
+        for k in np.flatnonzero(common >= needed(n, m, SIMILARITY)).tolist():
+            sims[k] = similarity(a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["u", "v", "sim"])
 
 
@@ -216,16 +266,16 @@ def _with_side(pairs: DataFrame, side: str, other: str, texts: DataFrame) -> Dat
     return salted.join(own, [side, "salt"]).drop("salt")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, v, sim) of all ``pairs`` (stored), with the alignment done from the stored words of both."""
     both = _with_side(_with_side(pairs, "u", "v", texts), "v", "u", texts)
-    return both.select("u", "v", "words_u", "words_v").mapInArrow(lambda it: _verified(it, least), "u binary, v binary, sim double")
+    return both.select("u", "v", "words_u", "words_v").mapInArrow(_verified, "u binary, v binary, sim double")
 
 
-def _pairs_within(rows: DataFrame, on: list[str], least: float) -> DataFrame:
+def _pairs_within(rows: DataFrame, on: list[str]) -> DataFrame:
     """All pairs of the nodes of each (small) group whose numbers of words allow a link."""
     a, b = rows.select(*on, F.col("node").alias("u"), F.col("n").alias("nu")), rows.select(*on, F.col("node").alias("v"), F.col("n").alias("nv"))
-    return a.join(b, on).filter(F.col("u") < F.col("v")).filter((F.least("nu", "nv") >= least * F.greatest("nu", "nv"))).select("u", "v").distinct()
+    return a.join(b, on).filter(F.col("u") < F.col("v")).filter((F.least("nu", "nv") >= SIMILARITY * F.greatest("nu", "nv"))).select("u", "v").distinct()
 
 
 def _grouped(rows: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -236,33 +286,36 @@ def _grouped(rows: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     return sized.filter(F.col("size") <= SMALL), sized.filter(F.col("size") > SMALL)
 
 
-def _to_hubs(rows: DataFrame, least: float) -> DataFrame:
+def _to_hubs(rows: DataFrame) -> DataFrame:
     """(u, v): of each group g its most central member (whose groups have most members, then the greatest node) with the others."""
     central = rows.groupBy("node").agg(F.sum("size").alias("c"))
     hubs = rows.join(central, "node").groupBy("g").agg(F.max(F.struct("c", "node", "n")).alias("h")).select("g", F.col("h.node").alias("hub"), F.col("h.n").alias("nh"))
     hubs = bounded_broadcast(cut(hubs, "hubs"))
-    asked = rows.join(hubs, "g").filter(F.col("node") != F.col("hub")).filter(F.least("n", "nh") >= least * F.greatest("n", "nh"))
+    asked = rows.join(hubs, "g").filter(F.col("node") != F.col("hub")).filter(F.least("n", "nh") >= SIMILARITY * F.greatest("n", "nh"))
     return asked.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
-def _by_rare_words(groups: DataFrame, texts: DataFrame, links: DataFrame, least: float) -> DataFrame:
-    """(u, v): the pairs of nodes of ``groups`` (g, node) not in one class by ``links`` that share a word among the rarest of
-    both, so all of them that can link. Words are ordered by COUNTERS counts that words of one low part share: any order that is
+def _by_rarest(groups: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """(u, v): the pairs of nodes of ``groups`` (g, node) not in one class by ``links`` that share a run or a word among the rarest of
+    both, so all of them that can link. The order is by levels of COUNTERS counts that values of one low part share: any order that is
     the same for all nodes finds all pairs, so only the work depends on them."""
     placed = groups.select("g", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("g")
     mixed = bounded_broadcast(cut(mixed, "mixed-groups"))
     nodes = placed.join(mixed, "g", "left_semi").select("node", "root").distinct()
     own = cut(nodes.join(texts, "node").select("node", "root", "words"), "mixed")
-    counts = own.select("words").mapInArrow(_counted, _COUNTS).repartition("block").mapInArrow(_summed, _COUNTS)
-    often = np.zeros(COUNTERS, np.int64)
-    _add(often, counts.toArrow())  # COUNTERS / BLOCK rows at most
+    counts = own.select("words").mapInArrow(_counted, "block int, counters binary, counts binary").repartition("block").mapInArrow(_levels, "block int, levels binary")
+    often = np.zeros(COUNTERS, np.uint8)
+    for r in counts.toLocalIterator():  # COUNTERS / BLOCK rows at most
+        often[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["levels"], np.uint8)
     shared = texts.sparkSession.sparkContext.broadcast(often)
-    first = cut(own.mapInArrow(lambda it: _rarest(it, shared.value, least), "word int, node binary, root binary, n long, at long"), "rare")
-    x, y = (first.select("word", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k in "uv")
-    need = least / (1 + least) * (F.col("nu") + F.col("nv")) - 1e-6
+    first = cut(own.mapInArrow(lambda it: _rarest(it, shared.value), "value int, k int, node binary, root binary, n long, at long"), "rare")
+    shared.destroy()
+    x, y = (first.select("value", "k", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k in "uv")
+    share = F.coalesce(*[F.when(F.col("k") == k, least / (1 + least)) for k, least in KINDS])
+    need = share * (F.col("nu") + F.col("nv")) - 1e-6
     able = (F.col("atu") <= F.col("nu") - need) & (F.col("atv") <= F.col("nv") - need)
-    return x.join(y, "word").filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & able).select("u", "v").distinct()
+    return x.join(y, ["value", "k"]).filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & able).select("u", "v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -286,16 +339,16 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: ``doc_id, class_id`` (the least id of its class), ``class_size`` (rows), ``n_links`` (verified
     links of its text to other texts) and ``kept`` (one row of each class: of those with the least id, or of all if no id is
     known, the first)."""
     with temporary(docs.sparkSession):
-        classes = _row_classes(docs, F.monotonically_increasing_id(), id_col, text_col, least).drop(ROW)
+        classes = _row_classes(docs, F.monotonically_increasing_id(), id_col, text_col).drop(ROW)
         return cut(classes, "classes", outer=True)
 
 
-def _row_classes(docs: DataFrame, row: Column, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
+def _row_classes(docs: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
     """``near_classes`` with the column ROW; ``row`` numbers the rows of ``docs``."""
     spark: SparkSession = docs.sparkSession
     prepare_workers(spark)
@@ -307,7 +360,7 @@ def _row_classes(docs: DataFrame, row: Column, id_col: str, text_col: str, least
 
     keyed = nodes.select("node", "n", F.posexplode("sketch").alias("i", "a"))
     small, large = _grouped(keyed, ["i", "a"])
-    pairs = cut(_pairs_within(small, ["i", "a"], least), "pairs")
+    pairs = cut(_pairs_within(small, ["i", "a"]), "pairs")
 
     # the words of the nodes that have candidates
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(large.select("node")).distinct()
@@ -316,13 +369,13 @@ def _row_classes(docs: DataFrame, row: Column, id_col: str, text_col: str, least
     own = own.mapInArrow(_with_words, "node binary, words binary").filter("node is not null")
     own = cut(own.groupBy("node").agg(F.first("words").alias("words")), "words")
 
-    links = cut(_links(pairs, own, least).filter("sim > 0").select("u", "v"), "links")
+    links = cut(_links(pairs, own).filter("sim > 0").select("u", "v"), "links")
     if large.take(1):
         groups = large.withColumn("g", F.xxhash64("i", "a"))
-        hubs = cut(_to_hubs(groups, least), "hub-pairs")
-        links = cut(links.unionByName(_links(hubs, own, least).filter("sim > 0").select("u", "v")).distinct(), "links")
-        rare = cut(_by_rare_words(groups, own, links, least), "rare-pairs")
-        links = cut(links.unionByName(_links(rare, own, least).filter("sim > 0").select("u", "v")).distinct(), "links")
+        hubs = cut(_to_hubs(groups), "hub-pairs")
+        links = cut(links.unionByName(_links(hubs, own).filter("sim > 0").select("u", "v")).distinct(), "links")
+        rare = cut(_by_rarest(groups, own, links), "rare-pairs")
+        links = cut(links.unionByName(_links(rare, own).filter("sim > 0").select("u", "v")).distinct(), "links")
 
     roots = components(links)
     degree = links.select("u", "v").distinct().select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))

@@ -451,7 +451,7 @@ def test_near_dedup(spark):
     root = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if near_dedup.aligned(runs[i], runs[j]) > 0:
+            if near_dedup.similarity(runs[i], runs[j]) > 0:
                 a, b = root[i], root[j]
                 root = [min(a, b) if x in (a, b) else x for x in root]
     for small in (32, 4):
@@ -488,6 +488,11 @@ def test_alignment_against_brute_force():
         got = near_dedup.aligned(a, b)
         assert got == (pytest.approx(sim) if sim >= 0.8 - 1e-9 else 0.0)
         found += got > 0
+        runs = [[tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))] for x in (a.tolist(), b.tolist())]
+        labelled_ = [[(r, x[:i].count(r)) for i, r in enumerate(x)] for x in runs]
+        common = _common(*labelled_)
+        by_runs = common / (len(runs[0]) + len(runs[1]) - common)
+        assert (near_dedup.similarity(a, b) > 0) == (sim >= 0.9 - 1e-9 or by_runs >= 0.8 - 1e-9)
     assert found > 100
 
 
@@ -499,10 +504,10 @@ def test_near_copies_are_found(spark):
     for k in range(300):
         ws = list(rng.choice(vocab, int(rng.integers(40, 200))))
         other = list(ws)
-        for at in rng.choice(len(ws), max(1, int(len(ws) * rng.uniform(0.01, 0.1))), replace=False):
+        for at in rng.choice(len(ws), max(1, int(len(ws) * rng.uniform(0.01, 0.06))), replace=False):
             other[at] = str(rng.choice(vocab))
         rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
-        pairs.append(near_dedup.aligned(*(np.array([vocab.index(w) for w in x], np.uint32) for x in (ws, other))) > 0)
+        pairs.append(near_dedup.similarity(*(np.array([vocab.index(w) for w in x], np.uint32) for x in (ws, other))) > 0)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(odd(spark, rows)).collect()}
     linked = [got[2 * k] == got[2 * k + 1] for k in range(300)]
     assert sum(pairs) > 250 and all(p for p, x in zip(pairs, linked, strict=True) if x)
@@ -607,3 +612,66 @@ def test_stages_decide_by_row(spark):
     assert texts(language.drop_unidentified(docs, 0.0)) == sorted(t for _, t in rows[:9])
     bench = spark.createDataFrame([(1, rows[2][1]), (2, rows[4][1])], "item_id long, text string")
     assert texts(decontaminate.drop_contaminated(docs, bench)) == sorted(t for i, (_, t) in enumerate(rows) if i not in (2, 4, 5))
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage by plain Python over a fixture with null and repeated ids, copies, near copies, test passages and texts without letters."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(21)
+    vocab = ["w" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocab, n))
+    items = [(i, text(30)) for i in range(5)]
+    rows = [(i if i % 7 else None, text(int(rng.integers(30, 300)))) for i in range(60)]
+    rows += [(1000 + i, rows[i][1].replace(" ", "  \n", 3)) for i in range(0, 12)]  # copies but for white space
+    rows += [(None, rows[20][1]), (20, rows[20][1]), (20, rows[21][1] + " "), (21, rows[21][1])]
+    for i in range(30, 40):  # near copies
+        ws = rows[i][1].split()
+        ws[int(rng.integers(len(ws)))] = "changed"
+        rows.append((2000 + i if i % 3 else None, " ".join(ws)))
+    rows += [(3000 + i, f"{text(40)} {items[i % 5][1]} {text(40)}") for i in range(8)]
+    rows += [(4000, None), (4001, ""), (None, "12 34 !!"), (4002, " \n ")]
+    table = spark.createDataFrame([(i, t, "en", "s", 1, "x", 2) for i, t in rows], DOCS)
+    table.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    least = lambda r: (r[0] is None, r[0] if r[0] is not None else 0)
+    now = [r for r in rows if r[1] and any(map(str.isalpha, r[1]))]
+    groups: dict[str, list] = {}
+    for r in now:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r[1]), []).append(r)
+    now = [min(g, key=lambda r: (-len(r[1]), r[0] is not None, r[0] or 0)) for g in groups.values()]
+    ids = {w: i for i, w in enumerate(sorted({w for _, t in now for w in t.split()}))}
+    arrays = [np.array([ids[w] for w in t.split()], np.uint32) for _, t in now]
+    root = list(range(len(now)))
+    for i in range(len(now)):
+        for j in range(i):
+            n, m, common = len(arrays[i]), len(arrays[j]), 0
+            if min(n, m) >= 0.8 * max(n, m) and len(np.intersect1d(arrays[i], arrays[j])) > 0.4 * n:
+                common = _common(arrays[i].tolist(), arrays[j].tolist())
+            if common / (n + m - common) >= 0.9:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    classes: dict[int, list] = {}
+    for r, c in zip(now, root, strict=True):
+        classes.setdefault(c, []).append(r)
+    assert len(classes) == len(now) - 10
+    now = [min(c, key=least) for c in classes.values()]
+    now = [r for r in now if not any(f" {t} " in f" {r[1]} " for _, t in items)]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, t in now:
+        doc = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        at = [0, *range(len(doc) % 1024 or 1024, len(doc), 1024), len(doc)] if len(doc) > 1024 else [0, len(doc)]
+        want += [(i, k, a, b - a, zlib.crc32(np.array(doc[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    odd(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
