@@ -7,7 +7,9 @@ Copies (same words) are first collapsed to one node. Nodes that agree in a sketc
 ``SMALL`` nodes all pairs are taken. In larger groups each member is compared with the most central one. The groups whose
 members are then still in different classes are finished exactly, by what is rare in them: with the occurrence-labelled runs of each
 node in one order, the rarest first, two nodes can only link by their runs if they share one among the first of both (as many as a
-link leaves unaligned, and one), and likewise by their words. So nodes are joined on these, and pairs of one class are left out.
+link leaves unaligned, and one), and likewise by their words. So nodes are joined on these, and pairs of one class are left out, as
+are those whose bits differ in more places than a link leaves words unaligned: a node has ``BITS`` parities of its words, and each
+word that only one of two nodes has changes one parity.
 Passages that many documents share are not among their rarest runs, so work grows with the documents and not with the square of a
 group's size.
 
@@ -22,7 +24,9 @@ run of all its words; repeated rows share a class; rows with null id count as co
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -172,6 +176,15 @@ def _flat(col: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
 
 #: What pairs may link by: runs of so many words, and the similarity that they need in these.
 KINDS = ((RUN, SIMILARITY), (1, WORD_SIMILARITY))
+BITS = 512
+
+
+def parities(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """BITS parities of the labelled words of each text, as 64-bit integers."""
+    n = len(ends) - 1
+    text = np.repeat(np.arange(n), np.diff(ends))
+    odd = np.bincount(text * BITS + _labelled(flat, ends) % np.uint32(BITS), minlength=n * BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(n, BITS), axis=1).view(np.int64)
 
 
 def _labelled(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -224,10 +237,14 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([level(x).tobytes() for x in held.values()], pa.binary())], names=["block", "levels"])
 
 
+_RARE = ["value", "k", "node", "root", "n", "at", "words", *(f"p{i}" for i in range(BITS // 64))]
+
+
 @task
 def _rarest(batches: Iterator[pa.RecordBatch], often: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in by_bytes([whole], "words")):
         flat, ends = _flat(batch.column(2))
+        odd = parities(flat, ends)
         for k, least in KINDS:
             value, first = _features(k, flat, ends)
             n = np.diff(first)
@@ -236,7 +253,7 @@ def _rarest(batches: Iterator[pa.RecordBatch], often: np.ndarray) -> Iterator[pa
             at = np.arange(len(value)) - np.repeat(first[:-1], n)
             kept = (at <= np.repeat(np.floor(n * (1 - least) + 1e-6), n)) & (c[order] > 1)  # what is counted once matches none
             of = pa.array(text[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(value[order][kept].view(np.int32)), pa.array(np.full(len(of), k, np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(n[text[kept]]), pa.array(at[kept])], names=["value", "k", "node", "root", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(value[order][kept].view(np.int32)), pa.array(np.full(len(of), k, np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(n[text[kept]]), pa.array(at[kept]), pa.array(np.diff(ends)[text[kept]]), *(pa.array(x) for x in odd[text[kept]].T.copy())], names=_RARE)
 
 
 @task
@@ -309,13 +326,17 @@ def _by_rarest(groups: DataFrame, texts: DataFrame, links: DataFrame) -> DataFra
     for r in counts.toLocalIterator():  # COUNTERS / BLOCK rows at most
         often[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["levels"], np.uint8)
     shared = texts.sparkSession.sparkContext.broadcast(often)
-    first = cut(own.mapInArrow(lambda it: _rarest(it, shared.value), "value int, k int, node binary, root binary, n long, at long"), "rare")
+    first = cut(own.mapInArrow(lambda it: _rarest(it, shared.value), "value int, k int, node binary, root binary, n long, at long, words long" + "".join(f", {x} long" for x in _RARE[7:])), "rare")
     shared.destroy()
-    x, y = (first.select("value", "k", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k in "uv")
+    x, y = (first.select("value", "k", *[F.col(c).alias(c + side) for c in _RARE[2:]]) for side in "uv")
+    # what both kinds of links have in common of runs or words, and leave unaligned of words: by runs they have 0.8 of words too
     share = F.coalesce(*[F.when(F.col("k") == k, least / (1 + least)) for k, least in KINDS])
     need = share * (F.col("nu") + F.col("nv")) - 1e-6
     able = (F.col("atu") <= F.col("nu") - need) & (F.col("atv") <= F.col("nv") - need)
-    return x.join(y, ["value", "k"]).filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & able).select("u", "v").distinct()
+    differ = functools.reduce(operator.add, [F.bit_count(F.col(f"{p}u").bitwiseXOR(F.col(f"{p}v"))) for p in _RARE[7:]])
+    near = differ <= (F.col("wordsu") + F.col("wordsv")) * (1 - 2 * share) + 1e-6
+    both = x.join(y, ["value", "k"]).filter((F.col("nodeu") < F.col("nodev")) & (F.col("rootu") != F.col("rootv")) & able & near)
+    return both.select(F.col("nodeu").alias("u"), F.col("nodev").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -115,5 +115,7 @@ def labelled(values: np.ndarray, first: np.ndarray) -> np.ndarray:
         places = places[np.lexsort((places, runs))]
         begin = np.concatenate([[0], np.cumsum(size[size > 1])])[:-1]
         nth = np.arange(len(places)) - np.repeat(begin, size[size > 1])
-        out[places] = mix(values[places] + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        # the first occurrence keeps the value, as it does in a text that has no other
+        later = places[nth > 0]
+        out[later] = mix(values[later] + nth[nth > 0].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     return out

@@ -492,6 +492,8 @@ def test_alignment_against_brute_force():
         labelled_ = [[(r, x[:i].count(r)) for i, r in enumerate(x)] for x in runs]
         common = _common(*labelled_)
         by_runs = common / (len(runs[0]) + len(runs[1]) - common)
+        both = near_dedup.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert sum(int(x).bit_count() for x in (both[0] ^ both[1]).view(np.uint64)) <= len(a) + len(b) - 2 * _common(a.tolist(), b.tolist())
         assert (near_dedup.similarity(a, b) > 0) == (sim >= 0.9 - 1e-9 or by_runs >= 0.8 - 1e-9)
     assert found > 100
 
