@@ -19,13 +19,13 @@ def dq_sql_assertions(spark, read) -> DataFrame:
 
 
 _SUITE_SQL = """SELECT 'orders' AS table_name, check_name, severity, n = 0 AS passed, n AS unexpected_count, checked FROM (
-SELECT 'expect_column_values_to_be_between:o_totalprice' AS check_name, 'CRITICAL' AS severity, count(*) FILTER (WHERE o_totalprice < 1000) AS n, count(*) AS checked FROM orders
+SELECT 'expect_column_values_to_be_between:o_totalprice' AS check_name, 'CRITICAL' AS severity, count(*) FILTER (WHERE o_totalprice < 1000 OR o_totalprice > 400000) AS n, count(*) AS checked FROM orders
 UNION ALL SELECT 'expect_column_values_to_not_be_null:o_orderkey', 'CRITICAL', count(*) FILTER (WHERE o_orderkey IS NULL), count(*) FROM orders
 UNION ALL SELECT 'expect_column_values_to_be_in_set:o_orderstatus', 'WARNING', count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')), count(*) FROM orders)"""
 
 
 def _suite(read) -> DataFrame:
-    return Q.run_suite(read("orders"), "orders", [Q.between("o_totalprice", 1000), Q.not_null("o_orderkey"), Q.in_set("o_orderstatus", ["F", "O"])])
+    return Q.run_suite(read("orders"), "orders", [Q.between("o_totalprice", 1000, 400000), Q.not_null("o_orderkey"), Q.in_set("o_orderstatus", ["F", "O"])])
 
 
 @query(_SUITE_SQL)
