@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import decontaminate, exact_dedup, language, near_dedup, packing
-from lakeloom.llm.common import cut, read_table
+from lakeloom.llm.common import cut, read_table, temporary
 from lakeloom.llm.queries import tokenizer_path
 
 
@@ -41,9 +41,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that stay. Each stage's result is stored, and what the stage itself stored is deleted."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with temporary(spark):
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{name}", outer=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
