@@ -47,6 +47,9 @@ ENDINGS = ("berg", "dottir", "enko", "escu", "ez", "idis", "mann", "opoulos", "p
 GENDERED = ("skaya", "skaia", "sky", "skiy", "ski", "ska", "ova", "eva", "ina", "ov", "ev", "in", "ская", "ский", "ова", "ева", "ина", "ов", "ев", "ин")
 _NAMES = "|".join((*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC))
 _WORD = r"\p{Lu}\p{Ll}+"
+#: A place where a name may begin: looked at first, so that a search passes by all others.
+_CAPITAL = r"(?<!\w)(?=[\p{Lu}г])"
+_FORM = rf"{_WORD} \p{{Lu}}\p{{Ll}}{{2,}}(?:{'|'.join((*ENDINGS, *(g for g in GENDERED if len(g) > 2)))})"
 #: Patterns of entities in order of precedence.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -56,11 +59,12 @@ PATTERNS = {
     "phone": r"(?<!\w)\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}(?: \d{3} |\.\d{3}\.|-\d{3}-)\d{4}(?![\w-])|(?<![\w.-])0\d{2,4} \d{3,4} ?\d{3,4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "name": rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? {_WORD}(?: {_WORD})?|(?<={'|'.join(PHRASES)}){_WORD}(?: {_WORD})?|(?:{_NAMES}) {_WORD}|{_WORD} \p{{Lu}}\p{{Ll}}{{2,}}(?:{'|'.join((*ENDINGS, *(g for g in GENDERED if len(g) > 2)))}))(?![\p{{L}}])",
+    "name": rf"{_CAPITAL}(?:(?:{'|'.join(TITLES)})\.? {_WORD}(?: {_WORD})?|(?<={'|'.join(PHRASES)}){_WORD}(?: {_WORD})?|(?:{_NAMES}) {_WORD}|{_FORM})(?![\p{{L}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Where an entity may be at all; a cheap first look at each text.
-HINT = rf"\d|@|(?<!\w)(?:{'|'.join(TITLES)}|{_NAMES})\.? |{'|'.join(PHRASES)}|{_WORD} {_WORD}"
+_FIRST = "".join(sorted({p[0] for p in PHRASES}))
+HINT = rf"\d|@|{_CAPITAL}(?:(?:{'|'.join(TITLES)}|{_NAMES})\.? |{_FORM}(?!\p{{L}}))|(?<!\w)(?=[{_FIRST}])(?:{'|'.join(PHRASES)})"
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 HEX = "0123456789abcdef"
 #: Draws of a surrogate at most.
