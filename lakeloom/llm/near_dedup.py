@@ -401,8 +401,13 @@ def _row_classes(docs: DataFrame, row: Column, id_col: str, text_col: str) -> Da
     roots = components(links)
     degree = links.select("u", "v").distinct().select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classed = nodes.select("node", "rep", "first", "rows").join(roots, "node", "left").join(degree, "node", "left").select("node", "rep", "first", "rows", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    sizes = classed.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("first").alias("first"), F.sum("rows").alias("class_size"))
-    classed = classed.drop("first").join(sizes, "root").select("node", "class_id", F.col(f"first.{ROW}").alias("stays"), "class_size", "n_links")
+    classed = cut(classed, "classed")
+    # of classes of several nodes: one of many nodes doesn't meet in one task, as its row is broadcast or AQE splits the join
+    sizes = classed.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("first").alias("least"), F.sum("rows").alias("class_size"), F.count(F.lit(1)).alias("m"))
+    sizes = bounded_broadcast(cut(sizes.filter("m > 1").drop("m"), "class-sizes"))
+    classed = classed.join(sizes, "root", "left")
+    stays = F.coalesce(F.col(f"least.{ROW}"), F.col(f"first.{ROW}")).alias("stays")
+    classed = classed.select("node", F.coalesce(F.when(F.col("least").isNotNull(), F.col("class_id")), "rep").alias("class_id"), stays, F.coalesce("class_size", "rows").alias("class_size"), "n_links")
     out = members.join(classed, "node", "left")
     return out.select(ROW, "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col(ROW) == F.col("stays"), F.lit(True)).alias("kept"))
 
