@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.llm import chat, decontaminate, exact_dedup, language, near_dedup, packing, pii, shards, urls, wordpiece
+from lakeloom.llm import chat, decontaminate, encode, exact_dedup, language, near_dedup, packing, pii, shards, urls, wordpiece
 from lakeloom.llm.encode import Encoder
 from lakeloom.llm.tokens import words
 
@@ -354,6 +354,32 @@ def test_encoder():
         assert e.batch(texts * 2) == want * 2 and e.known.held <= 1000
 
 
+def test_encoder_makes_words_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(4)
+    letters, others = list("abcdeEAThinzZéÀßÿÖ.,|!*?"), [*"×÷ñµ'\"-_(<|>0129\n", "漢", "é", "𝔘", "İ", "'ll", "...", " ", "  ", "</w>"]
+    plain_words = " ".join("".join(rng.choice(letters[:18], rng.integers(1, 20))) + ".,"[: i % 3] for i in range(3000))
+    any_words = [" ".join("".join(rng.choice(letters + others * (i % 2), rng.integers(1, 12))) for _ in range(rng.integers(0, 40))).strip() for i in range(400)]
+    texts = [plain_words.replace(" ", "\n", 5), *any_words, "a" * 300 + " b" * 40, "é" * 63 + " " + "é" * 32 + "a", "\nb", "ab\ncd. ef"]
+    for kind, name in (("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")):
+        path = public_tokenizers.path(name)
+        want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        e, alone = Encoder(path, kind), []
+        piece = e._piece
+        e.known.make = e.plain.make = lambda p, piece=piece, alone=alone: alone.append(p) or piece(p)
+        assert e.batch(texts[:1]) == want[:1] and not any(c.isalpha() for p in alone for c in p)  # the library makes none of the words
+        assert e.batch(texts) == want
+        e.merges = None  # a vocabulary that has other things than merges
+        assert e.batch(texts) == want
+        with monkeypatch.context() as m:
+            m.setattr(encode, "TOGETHER", 50)
+            assert Encoder(path, kind).batch(texts) == want
+        with monkeypatch.context() as m:
+            m.setattr(encode, "_hashes", lambda raw, starts, ends: (ends - starts).astype(np.uint64))
+            assert Encoder(path, kind).batch(texts) == want
+
+
 def test_shards(spark, docs, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     out = shards.write_shards(docs.unionByName(odd(spark).select(*docs.columns)), path, out=f"file://{tmp_path}/s", shard_ids=20000, ranges=3)
